@@ -49,7 +49,8 @@ def token_sets(s: words.Slice, n: int) -> Iterator[np.ndarray]:
     """Sorted distinct grams of each row, in the global order: the longest first, then by hash."""
     x = words.scan(s)
     gram = words.grams(x.hash, n)
-    length = np.minimum(63, x.end[n - 1 :] - x.begin[: len(gram)]) if len(gram) else np.zeros(0, np.int64)
+    letters = np.cumsum(np.r_[0, x.end - x.begin])
+    length = np.minimum(63, letters[n:] - letters[: len(gram)]) if len(gram) else np.zeros(0, np.int64)
     value = ((63 - length).astype(np.uint64) << np.uint64(58)) | (gram >> np.uint64(6))
     for row in range(s.count):
         a, b = x.of_row[row], x.of_row[row + 1]
