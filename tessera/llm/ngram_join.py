@@ -8,9 +8,11 @@ collisions of 58-bit gram hashes.
    first half of its grams, so copies and near copies mostly share a group.
 2. The token-group matrix is kept sparse, as rows (gram, group): for each
    document only the ``(1 - threshold)`` share of its grams that comes first in a
-   global order (longest grams first, which are the rarest) enters. Two sets
+   global order enters: by how common the gram's rarest word is, then by hash. Two sets
    that reach the threshold must meet there, so a group that shares none of them with a
-   query's group has bound 0 and stays closed.
+   query's group, or meets it too late in the order or at incompatible sizes, has a bound
+   below the threshold and stays closed. The words are counted over all documents in a
+   table of fixed size; collisions in it cost order, not results.
 3. For the pairs of groups that remain, the documents of the smaller one travel,
    with all their grams, to the larger one. There the bound is taken against the
    full union of the group's grams; only queries that pass it open the group, where
@@ -42,16 +44,19 @@ from tessera.llm._shared import stored
 N = 3
 THRESHOLD = 0.55
 BLOCK = 1024
+COUNTERS = 1 << 20
 _EPS = 1e-9
 
 
-def token_sets(s: words.Slice, n: int) -> Iterator[np.ndarray]:
-    """Sorted distinct grams of each row, in the global order: the longest first, then by hash."""
+def token_sets(s: words.Slice, n: int, common: np.ndarray) -> Iterator[np.ndarray]:
+    """Sorted distinct grams of each row, in the global order: those of rare words first, then by hash."""
     x = words.scan(s)
     gram = words.grams(x.hash, n)
-    letters = np.cumsum(np.r_[0, x.end - x.begin])
-    length = np.minimum(63, letters[n:] - letters[: len(gram)]) if len(gram) else np.zeros(0, np.int64)
-    value = ((63 - length).astype(np.uint64) << np.uint64(58)) | (gram >> np.uint64(6))
+    each = common[(x.hash & np.uint64(len(common) - 1)).astype(np.int64)]
+    rarest = each[: len(gram)]
+    for i in range(1, n):
+        rarest = np.minimum(rarest, each[i : i + len(gram)])
+    value = (rarest.astype(np.uint64) << np.uint64(58)) | (gram >> np.uint64(6))
     for row in range(s.count):
         a, b = x.of_row[row], x.of_row[row + 1]
         if b - a >= n:
@@ -75,49 +80,75 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.lower("text").alias("text"))
 
 
-def _profiles(docs: DataFrame, n: int) -> DataFrame:
+def word_levels(docs: DataFrame, counters: int = COUNTERS) -> np.ndarray:
+    """How common the words of each counter are, in steps of a doubling; summed over all documents."""
+    width = counters // 16
+
+    def count(batches):
+        total = np.zeros(counters, np.uint32)
+        for batch in batches:
+            for s in words.slices(batch.column(1)):
+                at, often = np.unique((words.scan(s).hash & np.uint64(counters - 1)).astype(np.int64), return_counts=True)
+                total[at] += often.astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([total[i * width : (i + 1) * width].tobytes() for i in range(16)], pa.binary())], ["part", "counts"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = np.zeros(width, np.uint64)
+        for x in table["counts"]:
+            total += np.frombuffer(x.as_buffer(), np.uint32)
+        return pa.table({"part": table["part"][:1], "levels": pa.array([np.ceil(np.log2(total + 1.0)).astype(np.uint8).tobytes()], pa.binary())})
+
+    rows = _texts(docs).mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(merge, "part int, levels binary").collect()
+    levels = np.zeros(counters, np.uint8)
+    for row in rows:
+        levels[row.part * width : (row.part + 1) * width] = np.frombuffer(row.levels, np.uint8)
+    return levels
+
+
+def _profiles(docs: DataFrame, n: int, levels) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             for s in words.slices(column):
-                rows = [(int(ids[s.first + i]), len(g), int(np.bitwise_xor.reduce(words.mix(g + np.uint64(1))).view(np.int64)), home_of(g)) for i, g in enumerate(token_sets(s, n)) if len(g)]
+                rows = [(int(ids[s.first + i]), len(g), int(np.bitwise_xor.reduce(words.mix(g + np.uint64(1))).view(np.int64)), home_of(g)) for i, g in enumerate(token_sets(s, n, levels.value)) if len(g)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "n", "set_hash", "home"])
 
     return _texts(docs).mapInArrow(run, "doc_id long, n int, set_hash long, home long")
 
 
-def _postings(docs: DataFrame, n: int, threshold: float) -> DataFrame:
+def _postings(docs: DataFrame, n: int, threshold: float, levels) -> DataFrame:
     def run(batches):
         for batch in batches:
             for s in words.slices(batch.column(1)):
-                tokens, homes, sizes = [], [], []
-                for g in token_sets(s, n):
+                tokens, homes, sizes, tails = [], [], [], []
+                for g in token_sets(s, n, levels.value):
                     if len(g):
                         k = prefix_length(len(g), threshold)
                         tokens.append(g[:k])
                         homes.append(np.full(k, home_of(g)))
                         sizes.append(np.full(k, len(g), np.int32))
+                        tails.append(np.arange(len(g), len(g) - k, -1, dtype=np.int32))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([np.concatenate(tokens).view(np.int64), np.concatenate(homes), np.concatenate(sizes)], ["token", "home", "n"])
+                    yield pa.RecordBatch.from_arrays([np.concatenate(tokens).view(np.int64), np.concatenate(homes), np.concatenate(sizes), np.concatenate(tails)], ["token", "home", "n", "tail"])
 
-    return _texts(docs).mapInArrow(run, "token long, home long, n int")
+    return _texts(docs).mapInArrow(run, "token long, home long, n int, tail int")
 
 
-def meeting_groups(token: np.ndarray, home: np.ndarray, n: np.ndarray, threshold: float, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of groups that share a token and hold sets of compatible sizes."""
+def meeting_groups(token: np.ndarray, home: np.ndarray, n: np.ndarray, tail: np.ndarray, threshold: float, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of groups that share a token, hold sets of compatible sizes, and have enough grams left from there on."""
     if len(token) == 0:
         return
     order = np.lexsort((home, token))
-    token, home, n = token[order], home[order], n[order]
+    token, home, n, tail = token[order], home[order], n[order], tail[order]
     first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (home[1:] != home[:-1])])
     low, high = np.minimum.reduceat(n, first).astype(np.int64), np.maximum.reduceat(n, first).astype(np.int64)
-    token, home = token[first], home[first]
+    token, home, tail = token[first], home[first], np.maximum.reduceat(tail, first).astype(np.int64)
     run = np.cumsum(np.r_[0, token[1:] != token[:-1]])
     shared = np.bincount(run)[run] > 1
-    home, low, high, run = home[shared], low[shared], high[shared], run[shared]
+    home, low, high, run, tail = home[shared], low[shared], high[shared], run[shared], tail[shared]
     order = np.lexsort((low, run))
-    home, low, high, run = home[order], low[order], high[order], run[order]
+    home, low, high, run, tail = home[order], low[order], high[order], run[order], tail[order]
     wide = np.int64(1) << 40
     until = np.searchsorted(run * wide + low, run * wide + np.floor(high / threshold + _EPS).astype(np.int64), side="right")
     partners = np.maximum(0, until - np.arange(len(home)) - 1)
@@ -128,21 +159,22 @@ def meeting_groups(token: np.ndarray, home: np.ndarray, n: np.ndarray, threshold
         left = np.repeat(np.arange(at, end), partners[at:end])
         begin = np.cumsum(partners[at:end]) - partners[at:end]
         right = left + 1 + np.arange(len(left)) - np.repeat(begin, partners[at:end])
-        a, b = home[left], home[right]
+        enough = np.minimum(tail[left], tail[right]) >= threshold / (1 + threshold) * (low[left] + low[right]) - _EPS
+        a, b = home[left[enough]], home[right[enough]]
         pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         if len(pair):
             yield pair[:, 0], pair[:, 1]
         at = end
 
 
-def _group_pairs(docs: DataFrame, n: int, threshold: float) -> DataFrame:
+def _group_pairs(docs: DataFrame, n: int, threshold: float, levels) -> DataFrame:
     def run(batches):
         parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
         if parts:
             for a, b in meeting_groups(*(np.concatenate(c) for c in zip(*parts)), threshold):
                 yield pa.RecordBatch.from_arrays([a, b], ["home_a", "home_b"])
 
-    return _postings(docs, n, threshold).repartition("token").mapInArrow(run, "home_a long, home_b long").distinct()
+    return _postings(docs, n, threshold, levels).repartition("token").mapInArrow(run, "home_a long, home_b long").distinct()
 
 
 def overlaps(sets: list[np.ndarray], members: int) -> np.ndarray:
@@ -230,10 +262,11 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, blo
     With ``forest`` the pairs of one group are thinned to a spanning forest that
     connects the same documents; ``jaccard`` is then 1.0 throughout.
     """
-    profiles = stored(_profiles(docs, n), "profiles")
+    levels = docs.sparkSession.sparkContext.broadcast(word_levels(docs))
+    profiles = stored(_profiles(docs, n, levels), "profiles")
     sets = profiles.groupBy("set_hash", "n", "home").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"))
     copies = profiles.join(sets, ["set_hash", "n", "home"]).filter("doc_id <> rep").select(F.col("rep").alias("id_a"), F.col("doc_id").alias("id_b"), F.lit(1.0).alias("jaccard")).distinct()
-    pairs = _group_pairs(docs, n, threshold)
+    pairs = stored(_group_pairs(docs, n, threshold, levels), "pairs")
     blocks = sets.groupBy("home").agg(F.count("*").alias("sets"))
     cut = F.pmod(F.xxhash64("rep"), F.ceil(F.col("sets") / block))
     members = sets.join(blocks, "home").select("rep", "n", "home", "sets", cut.cast("int").alias("block"))
@@ -258,7 +291,7 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, blo
         for batch in batches:
             column = batch.column(4)
             for s in words.slices(column):
-                packed = pa.array([g.tobytes() for g in token_sets(s, n)], pa.binary())
+                packed = pa.array([g.tobytes() for g in token_sets(s, n, levels.value)], pa.binary())
                 part = batch.slice(s.first, s.count)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), packed], ["doc_id", "home", "block", "hosts", "grams"])
 
