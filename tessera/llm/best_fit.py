@@ -42,21 +42,12 @@ class Capacities:
     def tightest(self, need: int) -> int:
         """The smallest remaining capacity of at least ``need`` that some bin has, or -1."""
         tree, node = self.tree, need + self.size
-        while not tree[node]:
-            while node & 1:
+        if not tree[node]:
+            while node & 1 or not tree[node + 1]:
                 node >>= 1
                 if node <= 1:
                     return -1
             node += 1
-            if node >= 2 * self.size:
-                return -1
-            if not tree[node]:
-                node >>= 1
-                while node > 1 and node & 1 and not tree[node]:
-                    node >>= 1
-                if node <= 1:
-                    return -1
-                node += not tree[node]
         while node < self.size:
             node = 2 * node + (not tree[2 * node])
         return node - self.size
