@@ -14,7 +14,7 @@ collisions of 58-bit gram hashes.
    below the threshold and stays closed. The words are counted over all documents in a
    table of fixed size; collisions in it cost order, not results.
 3. For the pairs of groups that remain, the documents of the smaller one travel,
-   with all their grams, to the larger one. There the bound is taken against the
+   with their whole texts, to the larger one. There the bound is taken against the
    full union of the group's grams; only queries that pass it open the group, where
    overlaps are counted exactly.
 
@@ -46,6 +46,8 @@ THRESHOLD = 0.55
 BLOCK = 1024
 COUNTERS = 1 << 20
 _EPS = 1e-9
+_MOST_AT, _MOST_N = (1 << 16) - 1, (1 << 24) - 1
+_TOKEN = np.uint64((1 << 64) - (1 << 16))
 
 
 def token_sets(s: words.Slice, n: int, common: np.ndarray) -> Iterator[np.ndarray]:
@@ -72,8 +74,8 @@ def prefix_length(size: int, threshold: float) -> int:
 
 
 def home_of(grams: np.ndarray) -> int:
-    """Group of a document: the smallest mixed hash among the first half of its grams."""
-    return int(words.mix(grams[: max(1, len(grams) // 2)]).min().view(np.int64))
+    """Group of a document (39 bits): the smallest mixed hash among the first half of its grams."""
+    return int(words.mix(grams[: max(1, len(grams) // 2)]).min() >> np.uint64(25))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -121,18 +123,26 @@ def _postings(docs: DataFrame, n: int, threshold: float, levels) -> DataFrame:
     def run(batches):
         for batch in batches:
             for s in words.slices(batch.column(1)):
-                tokens, homes, sizes, tails = [], [], [], []
+                tokens, groups = [], []
                 for g in token_sets(s, n, levels.value):
                     if len(g):
                         k = prefix_length(len(g), threshold)
-                        tokens.append(g[:k])
-                        homes.append(np.full(k, home_of(g)))
-                        sizes.append(np.full(k, len(g), np.int32))
-                        tails.append(np.arange(len(g), len(g) - k, -1, dtype=np.int32))
+                        tokens.append((g[:k] & _TOKEN) | np.minimum(np.arange(k), _MOST_AT).astype(np.uint64))
+                        groups.append(np.full(k, (home_of(g) << 24) | min(len(g), _MOST_N)))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([np.concatenate(tokens).view(np.int64), np.concatenate(homes), np.concatenate(sizes), np.concatenate(tails)], ["token", "home", "n", "tail"])
+                    yield pa.RecordBatch.from_arrays([np.concatenate(tokens).view(np.int64), np.concatenate(groups)], ["token_at", "home_n"])
 
-    return _texts(docs).mapInArrow(run, "token long, home long, n int, tail int")
+    return _texts(docs).mapInArrow(run, "token_at long, home_n long")
+
+
+def unpacked(token_at: np.ndarray, home_n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Token, group, size and grams left, from the two words of a posting.
+
+    Places and sizes too large for their bits are cut where that only loosens the bounds.
+    """
+    n = home_n & _MOST_N
+    tail = np.where(n == _MOST_N, np.int64(1) << 40, n - (token_at & _MOST_AT))
+    return token_at >> 16, home_n >> 24, n, tail
 
 
 def meeting_groups(token: np.ndarray, home: np.ndarray, n: np.ndarray, tail: np.ndarray, threshold: float, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -171,10 +181,10 @@ def _group_pairs(docs: DataFrame, n: int, threshold: float, levels) -> DataFrame
     def run(batches):
         parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
         if parts:
-            for a, b in meeting_groups(*(np.concatenate(c) for c in zip(*parts)), threshold):
+            for a, b in meeting_groups(*unpacked(*(np.concatenate(c) for c in zip(*parts))), threshold):
                 yield pa.RecordBatch.from_arrays([a, b], ["home_a", "home_b"])
 
-    return _postings(docs, n, threshold, levels).repartition("token").mapInArrow(run, "home_a long, home_b long").distinct()
+    return _postings(docs, n, threshold, levels).repartition(F.shiftright("token_at", 16)).mapInArrow(run, "home_a long, home_b long").distinct()
 
 
 def overlaps(sets: list[np.ndarray], members: int) -> np.ndarray:
@@ -284,29 +294,15 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, blo
     hosts = across.select(F.col("host").alias("home"), F.col("host_block").alias("block"), "host", "host_block")
     visits = inside.unionByName(across).unionByName(hosts).groupBy("home", "block").agg(F.collect_set(F.struct("host", "host_block")).alias("hosts"))
     travel = members.join(visits, ["home", "block"]).select(F.col("rep").alias("doc_id"), "home", "block", "hosts")
-    once = _texts(docs)
-    carried = travel.join(once, "doc_id").select("doc_id", "home", "block", "hosts", "text")
-
-    def expand(batches):
-        for batch in batches:
-            column = batch.column(4)
-            for s in words.slices(column):
-                packed = pa.array([g.tobytes() for g in token_sets(s, n, levels.value)], pa.binary())
-                part = batch.slice(s.first, s.count)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), packed], ["doc_id", "home", "block", "hosts", "grams"])
-
-    kind = carried.schema["hosts"].dataType.simpleString()
-    expanded = carried.mapInArrow(expand, f"doc_id long, home long, block int, hosts {kind}, grams binary")
-    to = expanded.select("doc_id", "home", "block", "grams", F.explode("hosts").alias("to")).select(
-        F.col("to.host").alias("host"), F.col("to.host_block").alias("host_block"), "doc_id", ((F.col("to.host") != F.col("home")) | (F.col("to.host_block") != F.col("block"))).alias("guest"), "grams"
+    to = travel.join(_texts(docs), "doc_id").select("doc_id", "home", "block", "text", F.explode("hosts").alias("to")).select(
+        F.col("to.host").alias("host"), F.col("to.host_block").alias("host_block"), "doc_id", ((F.col("to.host") != F.col("home")) | (F.col("to.host_block") != F.col("block"))).alias("guest"), "text"
     )
 
     def group(table: pa.Table) -> pa.Table:
-        ids, guest = table["doc_id"].to_numpy(), table["guest"].to_numpy(zero_copy_only=False).astype(bool)
-        grams = [np.frombuffer(x, np.uint64) for x in table["grams"].to_pylist()]
-        if len(ids) > 1:
-            _, first = np.unique(ids, return_index=True)
-            ids, guest, grams = ids[first], guest[first], [grams[i] for i in first]
+        table = table.select(["doc_id", "guest", "text"])
+        ids, first = np.unique(table["doc_id"].to_numpy(), return_index=True)
+        guest = table["guest"].to_numpy(zero_copy_only=False).astype(bool)[first]
+        grams = [g for s in words.slices(table["text"].take(pa.array(first))) for g in token_sets(s, n, levels.value)]
         a, b, j = open_group(ids, grams, guest, threshold, forest)
         return pa.table({"id_a": a.astype(np.int64), "id_b": b.astype(np.int64), "jaccard": j.astype(np.float64)})
 

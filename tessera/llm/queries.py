@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ngram_join
+from tessera.llm import best_fit, mixing, ngram_join, substring_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,26 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_pairs(_read(spark, sf_dir, "documents"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into bins of 2,048 tokens."""
+    return best_fit.packed(_read(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by a model trained on the labelled ones."""
+    return toxicity.scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passages of 50 words or more that repeat across documents."""
+    return substring_dedup.repeated_intervals(_read(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its sampling probability and the draw."""
+    return mixing.drawn(_read(spark, sf_dir, "documents"))
+
+
 _WORDS = r"regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 OP2_SQL = rf"""
@@ -38,8 +58,9 @@ UNION ALL SELECT rep, doc_id, 1.0, copies, 1 FROM rep WHERE rep <> doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}
+    found = (op2_ngram_jaccard_join, op3_best_fit_packing, op4_toxicity, op5_substring_dedup, op10_mixing)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": OP2_SQL}
+    return {"op2_ngram_jaccard_join": OP2_SQL, "op10_mixing": mixing.SQL}

@@ -36,8 +36,9 @@ TOXIC_ROWS = 2000
 CLEAN_ROWS = 4000
 BUCKETS = 1 << 17
 DIMENSIONS = 8
-WINDOW = 12
+WINDOW = 5
 ROUNDS = 4
+DECAY = 0.1
 
 
 @dataclass
@@ -131,7 +132,7 @@ def _fit(bags: list[np.ndarray], label: np.ndarray, subword: np.ndarray, first:
             m, v = moments[2 * i], moments[2 * i + 1]
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
-            value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+            value -= rate * ((m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9) + DECAY * value)
     state["E"][used] = e
 
 
@@ -160,13 +161,15 @@ def train(texts: list[str], label: np.ndarray, buckets: int = BUCKETS, window: i
     bag = lambda row, at, n: entry[at : min(at + n, x.of_row[row + 1])]
     some = fit_rows[np.argsort(words.mix(fit_rows.astype(np.uint64)), kind="stable")][:1200]
     _fit([bag(r, x.of_row[r], 1 << 62) for r in some], label[some], subword, first, state, 25, 0.05)
+    quiet, hard = fit_rows[label[fit_rows] == 0], []
+    loud = fit_rows[label[fit_rows] == 1]
     for _ in range(rounds):
         word = _sums(share()[subword], first)[entry]
         _, place = best_windows(word, count[entry], x.of_row, window)
         other = x.of_row[:-1] + (rng.random(len(texts)) * np.maximum(1, np.diff(x.of_row) - window)).astype(np.int64)
-        quiet = fit_rows[label[fit_rows] == 0]
-        bags = [bag(r, place[r], window) for r in fit_rows] + [bag(r, other[r], window) for r in quiet]
-        _fit(bags, np.r_[label[fit_rows], np.zeros(len(quiet), label.dtype)], subword, first, state, 40, 0.05)
+        hard += [bag(r, place[r], window) for r in quiet] + [bag(r, other[r], window) for r in quiet]
+        bags = [bag(r, place[r], window) for r in loud] + hard
+        _fit(bags, np.r_[np.ones(len(loud), np.int64), np.zeros(len(hard), np.int64)], subword, first, state, 40, 0.05)
     word = _sums(share()[subword], first)[entry]
     best, _ = best_windows(word, count[entry], x.of_row, window)
     rows = np.r_[toxic[:held], clean[: len(clean) // 2]] if held else np.arange(len(texts))
