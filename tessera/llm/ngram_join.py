@@ -8,10 +8,10 @@ collisions of 58-bit gram hashes.
    first half of its grams, so copies and near copies mostly share a group.
 2. The token-group matrix is kept sparse, as rows (gram, group): for each
    document only the ``(1 - threshold)`` share of its grams that comes first in a
-   global order enters: by how common the gram's rarest word is, then by hash. Two sets
-   that reach the threshold must meet there, so a group that shares none of them with a
-   query's group, or meets it too late in the order or at incompatible sizes, has a bound
-   below the threshold and stays closed. The words are counted over all documents in a
+   global order, and ``meetings`` more, enters: by how common the gram's rarest word is,
+   then by hash. Two sets that reach the threshold must meet there ``meetings`` times, so a group
+   that meets a query's group less often, too late in the order or only at incompatible
+   sizes has a bound below the threshold and stays closed. The words are counted over all documents in a
    table of fixed size; collisions in it cost order, not results.
 3. For the pairs of groups that remain, the documents of the smaller one travel,
    with their whole texts, to the larger one. There the bound is taken against the
@@ -69,8 +69,14 @@ def token_sets(s: words.Slice, n: int, common: np.ndarray) -> Iterator[np.ndarra
             yield np.zeros(0, np.uint64)
 
 
+def meetings(size):
+    """How many shared grams a set of this size must show before its group is opened."""
+    return 1 + (size * 2) // 25
+
+
 def prefix_length(size: int, threshold: float) -> int:
-    return size - int(np.ceil(threshold * size - _EPS)) + 1
+    """Grams of the order's beginning that hold the first ``meetings`` shared grams of any similar pair."""
+    return min(size, size - int(np.ceil(threshold * size - _EPS)) + meetings(size))
 
 
 def home_of(grams: np.ndarray) -> int:
@@ -145,8 +151,11 @@ def unpacked(token_at: np.ndarray, home_n: np.ndarray) -> tuple[np.ndarray, ...]
     return token_at >> 16, home_n >> 24, n, tail
 
 
-def meeting_groups(token: np.ndarray, home: np.ndarray, n: np.ndarray, tail: np.ndarray, threshold: float, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of groups that share a token, hold sets of compatible sizes, and have enough grams left from there on."""
+def meeting_groups(token: np.ndarray, home: np.ndarray, n: np.ndarray, tail: np.ndarray, threshold: float, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of groups that share tokens at compatible sizes, with enough grams left from there on.
+
+    With each pair, how many tokens they share here and how many they must share in all.
+    """
     if len(token) == 0:
         return
     order = np.lexsort((home, token))
@@ -169,11 +178,15 @@ def meeting_groups(token: np.ndarray, home: np.ndarray, n: np.ndarray, tail: np.
         left = np.repeat(np.arange(at, end), partners[at:end])
         begin = np.cumsum(partners[at:end]) - partners[at:end]
         right = left + 1 + np.arange(len(left)) - np.repeat(begin, partners[at:end])
-        enough = np.minimum(tail[left], tail[right]) >= threshold / (1 + threshold) * (low[left] + low[right]) - _EPS
-        a, b = home[left[enough]], home[right[enough]]
-        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        if len(pair):
-            yield pair[:, 0], pair[:, 1]
+        must, most_met = meetings(np.minimum(low[left], low[right])), meetings(np.minimum(high[left], high[right]))
+        enough = np.minimum(tail[left], tail[right]) + most_met - 1 >= threshold / (1 + threshold) * (low[left] + low[right]) - _EPS
+        a, b, must = home[left[enough]], home[right[enough]], must[enough]
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((b, a))
+        a, b, must = a[order], b[order], must[order]
+        if len(a):
+            new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            yield a[new], b[new], np.diff(np.r_[new, len(a)]), np.minimum.reduceat(must, new)
         at = end
 
 
@@ -181,10 +194,11 @@ def _group_pairs(docs: DataFrame, n: int, threshold: float, levels) -> DataFrame
     def run(batches):
         parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
         if parts:
-            for a, b in meeting_groups(*unpacked(*(np.concatenate(c) for c in zip(*parts))), threshold):
-                yield pa.RecordBatch.from_arrays([a, b], ["home_a", "home_b"])
+            for found in meeting_groups(*unpacked(*(np.concatenate(c) for c in zip(*parts))), threshold):
+                yield pa.RecordBatch.from_arrays(list(found), ["home_a", "home_b", "met", "must"])
 
-    return _postings(docs, n, threshold, levels).repartition(F.shiftright("token_at", 16)).mapInArrow(run, "home_a long, home_b long").distinct()
+    found = _postings(docs, n, threshold, levels).repartition(F.shiftright("token_at", 16)).mapInArrow(run, "home_a long, home_b long, met long, must long")
+    return found.groupBy("home_a", "home_b").agg(F.sum("met").alias("met"), F.min("must").alias("must")).filter("met >= must").select("home_a", "home_b")
 
 
 def overlaps(sets: list[np.ndarray], members: int) -> np.ndarray:
