@@ -5,14 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import best_fit, mixing, ngram_join, substring_dedup, toxicity
+from tessera.llm import best_fit, chat_format, media_chunks, mixing, ngram_join, substring_dedup, token_ids, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The html of every page chunked, deduplicated, put together again and verified."""
+    media = _read(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("id"), F.col("html").cast("binary").alias("payload"))
+    return media_chunks.round_trip(media).select(F.col("id").alias("page_id"), F.col("payload").cast("string").alias("html"), "n_bytes", "sha256", "verified")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All similar document pairs, by word trigrams."""
     return ngram_join.similar_pairs(_read(spark, sf_dir, "documents"))
@@ -33,6 +40,21 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_intervals(_read(spark, sf_dir, "documents"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as one formatted text."""
+    return chat_format.formatted(_read(spark, sf_dir, "conversations"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC files and read back."""
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document tokenised into binary shards and found through the perfect hash index."""
+    return token_ids.located(_read(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its sampling probability and the draw."""
     return mixing.drawn(_read(spark, sf_dir, "documents"))
@@ -58,9 +80,9 @@ UNION ALL SELECT rep, doc_id, 1.0, copies, 1 FROM rep WHERE rep <> doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_ngram_jaccard_join, op3_best_fit_packing, op4_toxicity, op5_substring_dedup, op10_mixing)
+    found = (op1_media_chunks, op2_ngram_jaccard_join, op3_best_fit_packing, op4_toxicity, op5_substring_dedup, op6_chat_format, op8_warc, op9_token_ids, op10_mixing)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": OP2_SQL, "op10_mixing": mixing.SQL}
+    return {"op1_media_chunks": media_chunks.SQL, "op2_ngram_jaccard_join": OP2_SQL, "op6_chat_format": chat_format.SQL, "op8_warc": warc.SQL, "op10_mixing": mixing.SQL}

@@ -168,7 +168,7 @@ def indexed(entries: DataFrame, folder: str, keys_per_index: int = KEYS_PER_INDE
         index = ShardIndex.build(column("doc_id"), column("shard"), column("byte_offset"), column("n_tokens"))
         part = table["part"][0].as_py()
         _put(folder, f"index-{part:06d}.npz", lambda out: out.write(index.save()))
-        return pa.table({"part": [part], "keys": [index.function.size]})
+        return pa.table({"part": pa.array([part], pa.int32()), "keys": pa.array([index.function.size], pa.int64())})
 
     placed = entries.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
     stored(placed.groupBy("part").applyInArrow(build, "part int, keys long"), "index-parts")
