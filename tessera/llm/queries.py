@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import best_fit, chat_format, media_chunks, mixing, ngram_join, substring_dedup, token_ids, toxicity, warc
+from tessera.llm import ann, best_fit, chat_format, media_chunks, mixing, ngram_join, substring_dedup, token_ids, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.formatted(_read(spark, sf_dir, "conversations"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest neighbours of every vector."""
+    return ann.neighbours(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC files and read back."""
     return warc.round_trip(_read(spark, sf_dir, "pages"))
@@ -80,7 +85,7 @@ UNION ALL SELECT rep, doc_id, 1.0, copies, 1 FROM rep WHERE rep <> doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_media_chunks, op2_ngram_jaccard_join, op3_best_fit_packing, op4_toxicity, op5_substring_dedup, op6_chat_format, op8_warc, op9_token_ids, op10_mixing)
+    found = (op1_media_chunks, op2_ngram_jaccard_join, op3_best_fit_packing, op4_toxicity, op5_substring_dedup, op6_chat_format, op7_ann, op8_warc, op9_token_ids, op10_mixing)
     return {f.__name__: f for f in found}
 
 
