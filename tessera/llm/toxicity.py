@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _words as words
 
-TOXIC_ROWS = 2000
+TOXIC_ROWS = 1500
 CLEAN_ROWS = 4000
 BUCKETS = 1 << 17
 DIMENSIONS = 8
@@ -54,32 +54,38 @@ def subwords(data: np.ndarray, begin: np.ndarray, end: np.ndarray, whole: np.nda
     """(buckets, first one of each word with an end) of words given by byte ranges; lower case in ASCII."""
     size = end - begin + 2
     edge = np.r_[0, np.cumsum(size)]
-    of = np.repeat(np.arange(len(begin)), size)
-    at = np.arange(edge[-1]) - edge[:-1][of]
-    source = np.clip(begin[of] + at - 1, 0, max(0, len(data) - 1))
+    of = np.repeat(np.arange(len(begin), dtype=np.int32), size)
+    source = np.clip(np.arange(edge[-1]) + (begin - edge[:-1] - 1)[of], 0, max(0, len(data) - 1))
     letter = words.LOWER[data[source]].astype(np.uint64) if len(of) else np.zeros(0, np.uint64)
     letter[edge[:-1]] = ord("<")
     letter[edge[1:] - 1] = ord(">")
-    found, owner = [whole], [np.arange(len(begin))]
+    mask = np.uint64(buckets - 1)
+    found, owner = [(whole & mask).astype(np.int32)], [np.arange(len(begin), dtype=np.int32)]
     for n in (3, 4, 5):
         gram = words.grams(letter + np.uint64(n << 8), n)
         inside = np.flatnonzero(of[: len(gram)] == of[n - 1 :]) if len(gram) else np.zeros(0, np.int64)
-        found.append(gram[inside])
+        found.append((gram[inside] & mask).astype(np.int32))
         owner.append(of[inside])
     found, owner = np.concatenate(found), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
-    return (found[order] & np.uint64(buckets - 1)).astype(np.int64), np.searchsorted(owner[order], np.arange(len(begin) + 1))
+    return found[order], np.searchsorted(owner[order], np.arange(len(begin) + 1))
 
 
 def vocabulary(s: words.Slice, x: words.Words, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each word's entry, and the subwords of the entries."""
     _, sample, entry = np.unique(x.hash, return_index=True, return_inverse=True)
-    return entry, *subwords(s.data, x.begin[sample], x.end[sample], x.hash[sample], buckets)
+    found, count = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for at in range(0, len(sample), 1 << 15):
+        some = sample[at : at + (1 << 15)]
+        bucket, first = subwords(s.data, x.begin[some], x.end[some], x.hash[some], buckets)
+        found.append(bucket)
+        count.append(np.diff(first))
+    return entry, np.concatenate(found), np.r_[0, np.cumsum(np.concatenate(count))]
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
-    return total[first[1:]] - total[first[:-1]]
+    """Sums of consecutive parts, none of them empty."""
+    return np.add.reduceat(values, first[:-1], axis=0) if len(first) > 1 else values[:0]
 
 
 def best_windows(score: np.ndarray, count: np.ndarray, of_row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,8 +112,8 @@ def _fit(bags: list[np.ndarray], label: np.ndarray, subword: np.ndarray, first:
     sizes = np.array([len(b) for b in bags])
     entry, of_token = np.unique(np.concatenate(bags), return_inverse=True)
     count = np.diff(first)[entry]
-    pair = np.repeat(first[:-1][entry] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-    bucket, of_pair = subword[pair], np.repeat(np.arange(len(entry)), count)
+    bucket = subword[np.repeat(first[:-1][entry] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())]
+    of_pair = np.repeat(np.arange(len(entry), dtype=np.int32), count)
     used, bucket = np.unique(bucket, return_inverse=True)
     edge, bag_edge = np.r_[0, np.cumsum(count)], np.r_[0, np.cumsum(sizes)]
     of_bag = np.repeat(np.arange(len(bags)), sizes)
@@ -126,8 +132,7 @@ def _fit(bags: list[np.ndarray], label: np.ndarray, subword: np.ndarray, first:
         g_mean = (g @ state["W"].T) / total[:, None]
         spread = g_mean[of_bag]
         g_vector = np.stack([np.bincount(of_token, spread[:, d], len(entry)) for d in range(spread.shape[1])], 1)
-        pulled = g_vector[of_pair]
-        g_e = np.stack([np.bincount(bucket, pulled[:, d], len(used)) for d in range(pulled.shape[1])], 1)
+        g_e = np.stack([np.bincount(bucket, g_vector[of_pair, d], len(used)) for d in range(g_vector.shape[1])], 1).astype(np.float32)
         for i, (value, grad) in enumerate(((e, g_e), (state["W"], mean.T @ g), (state["b"], g.sum(0)))):
             m, v = moments[2 * i], moments[2 * i + 1]
             m += 0.1 * (grad - m)
@@ -146,12 +151,13 @@ def train(texts: list[str], label: np.ndarray, buckets: int = BUCKETS, window: i
     if len(x.hash) == 0:
         return nothing
     entry, subword, first = vocabulary(s, x, buckets)
+    x = words.Words(x.begin[:0], x.end[:0], x.hash[:0], x.of_row)
     toxic, clean = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     held = len(toxic) // 5
     fit_rows = np.r_[toxic[held:], clean[len(clean) // 2 :]]
     fit_rows = fit_rows[np.diff(x.of_row)[fit_rows] > 0]
     rng = np.random.default_rng(7)
-    state = {"E": rng.uniform(-1 / dimensions, 1 / dimensions, (buckets, dimensions)), "W": np.zeros((dimensions, 2)), "b": np.zeros(2)}
+    state = {"E": rng.uniform(-1 / dimensions, 1 / dimensions, (buckets, dimensions)).astype(np.float32), "W": np.zeros((dimensions, 2)), "b": np.zeros(2)}
     state["W"][:, 1], state["W"][:, 0] = 0.1, -0.1
     count = np.diff(first)
 
@@ -159,7 +165,7 @@ def train(texts: list[str], label: np.ndarray, buckets: int = BUCKETS, window: i
         return state["E"] @ (state["W"][:, 1] - state["W"][:, 0])
 
     bag = lambda row, at, n: entry[at : min(at + n, x.of_row[row + 1])]
-    some = fit_rows[np.argsort(words.mix(fit_rows.astype(np.uint64)), kind="stable")][:1200]
+    some = fit_rows[np.argsort(words.mix(fit_rows.astype(np.uint64)), kind="stable")][:600]
     _fit([bag(r, x.of_row[r], 1 << 62) for r in some], label[some], subword, first, state, 25, 0.05)
     quiet, hard = fit_rows[label[fit_rows] == 0], []
     loud = fit_rows[label[fit_rows] == 1]
