@@ -28,6 +28,10 @@ _FLAG_OF_EXPRESSION = {
     "Like": "pattern_match", "ILike": "pattern_match",
 }
 _NEVER = {"RLike": "regular expressions", "UnresolvedGenerator": "generators", "Explode": "generators", "ScriptInputOutputSchema": "scripts"}
+_NEVER_NAMES = {
+    **dict.fromkeys(("explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple"), "generators"),
+    **dict.fromkeys(("reflect", "java_method", "try_reflect"), "calls into the virtual machine"),
+}
 _REGEX_NAMES = {"regexp", "regexp_like", "rlike", "regexp_extract", "regexp_replace"}
 
 
@@ -104,9 +108,11 @@ class Contract:
         name = part.getClass().getSimpleName()
         if name in _NEVER and not (self.regex and name == "RLike"):
             raise ContractError(f"{_NEVER[name]} are not admitted")
-        if name == "UnresolvedFunction" and not self.regex:
+        if name == "UnresolvedFunction":
             called = part.nameParts().mkString(".").lower()
-            if called in _REGEX_NAMES:
+            if called in _NEVER_NAMES:
+                raise ContractError(f"{_NEVER_NAMES[called]} are not admitted")
+            if called in _REGEX_NAMES and not self.regex:
                 raise ContractError("regular expressions are not admitted")
         if name in _FLAG_OF_EXPRESSION:
             self._need(_FLAG_OF_EXPRESSION[name], name)

@@ -9,7 +9,14 @@ from pyspark.sql import DataFrame
 
 
 def physical(df: DataFrame) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The physical plan as text, with its scans' details whole."""
+    conf, name = df.sparkSession.conf, "spark.sql.maxMetadataStringLength"
+    before = conf.get(name)
+    conf.set(name, "10000")
+    try:
+        return df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        conf.set(name, before)
 
 
 def pushed_filters(df: DataFrame) -> list[str]:

@@ -13,12 +13,8 @@ def key(text: str) -> str:
     """MD5 of the text with white space folded, comments dropped and everything but quoted parts in lower case."""
     out = []
     for quoted, comment, plain in _PARTS.findall(text):
-        if quoted:
-            out.append(quoted)
-        elif comment:
-            out.append(" ")
-        else:
-            out.append(re.sub(r"\s+", " ", plain).lower())
+        part = quoted or (" " if comment else re.sub(r"\s+", " ", plain).lower())
+        out.append(part.lstrip(" ") if out and out[-1].endswith(" ") and not quoted else part)
     return hashlib.md5(re.sub(r" +(?=[,)])|(?<=[(,]) +", "", "".join(out)).strip().rstrip("; ").encode()).hexdigest()
 
 
