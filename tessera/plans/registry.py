@@ -14,7 +14,9 @@ def key(text: str) -> str:
     out = []
     for quoted, comment, plain in _PARTS.findall(text):
         part = quoted or (" " if comment else re.sub(r"\s+", " ", plain).lower())
-        out.append(part.lstrip(" ") if out and out[-1].endswith(" ") and not quoted else part)
+        part = part.lstrip(" ") if out and out[-1].endswith(" ") and not quoted else part
+        if part:
+            out.append(part)
     return hashlib.md5(re.sub(r" +(?=[,)])|(?<=[(,]) +", "", "".join(out)).strip().rstrip("; ").encode()).hexdigest()
 
 
