@@ -49,7 +49,7 @@ class PerfectHash:
 
     @staticmethod
     def _place(hashes: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (words.mix(hashes + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(size)).astype(np.int64)
+        return (words.mix(hashes + np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64))) % np.uint64(size)).astype(np.int64)
 
     @classmethod
     def build(cls, hashes: np.ndarray, gamma: float = GAMMA) -> PerfectHash:
