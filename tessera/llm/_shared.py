@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,7 +15,8 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, from ``spark.checkpoint.dir``.
 
-    A temporary folder is used only where the setting is absent and the master
+    What is written there stays until the folder is cleared, as results are read from it lazily.
+    A temporary folder, removed at the end, is used only where the setting is absent and the master
     is a single-machine one (tests, notebooks); elsewhere its absence is an error.
     """
     there = spark.conf.get(CHECKPOINT_CONF, None)
@@ -21,7 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-        there = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        there = f"file://{folder}"
         spark.conf.set(CHECKPOINT_CONF, there)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(there)
