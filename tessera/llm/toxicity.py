@@ -147,12 +147,19 @@ def train(texts: list[str], label: np.ndarray, buckets: int = BUCKETS, window: i
     nothing = Model(np.zeros(buckets, np.float32), -np.inf, np.inf)
     if not len(texts) or label.min() == label.max():
         return nothing
-    s = next(words.slices(pa.array(texts, pa.large_string()), 1 << 62))
-    x = words.scan(s)
+    column = pa.array(texts, pa.large_string())
+    parts, at, number = [], 0, 0
+    for piece in words.slices(column):
+        x = words.scan(piece)
+        parts.append((x.begin + at, x.end + at, x.hash, x.of_row[:-1] + number))
+        at, number = at + len(piece.data), number + len(x.hash)
+    begin, end, hashes, rows = map(np.concatenate, zip(*parts))
+    x, s = words.Words(begin, end, hashes, np.r_[rows, number]), next(words.slices(column, 1 << 62))
     if len(x.hash) == 0:
         return nothing
     entry, subword, first = vocabulary(s, x, buckets)
-    x = words.Words(x.begin[:0], x.end[:0], x.hash[:0], x.of_row)
+    none = np.zeros(0, np.int64)
+    x, s, begin, end, hashes, parts, column = words.Words(none, none, none, x.of_row), None, None, None, None, None, None
     toxic, clean = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     held = len(toxic) // 5
     fit_rows = np.r_[toxic[held:], clean[len(clean) // 2 :]]
