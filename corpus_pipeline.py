@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import best_fit, mixing, ngram_join, substring_dedup, toxicity
+from tessera.llm import best_fit, mixing, ngram_join, substring_dedup, token_ids, toxicity
 from tessera.llm._shared import stored
 
 
@@ -34,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in bins."""
-    return best_fit.packed(docs)
+    return best_fit.packed(docs, tokenizer=token_ids.TOKENIZER)
 
 
 STAGES = [

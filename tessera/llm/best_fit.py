@@ -7,8 +7,11 @@ open bin; the tightest one that fits is found in O(log capacity), among equals t
 
 A document longer than the capacity fills whole bins and its rest is packed like any other.
 
-Defined results: a document has the UTF-8 bytes of its text over 4, rounded up, as tokens; null and
-empty texts have none and are not packed; a null ``doc_id`` is packed and stays null; repeated rows are packed each.
+Tokens are counted with the ``tokenizer`` (a file of ranks, read where tasks run) on whole texts, as operator 9 does; only
+the counts leave the task. Without one, a token stands for four UTF-8 bytes, the last for what is left: an estimate, below
+the true count of most texts, so that bins packed by it can exceed the capacity in real tokens.
+
+Defined results: null and empty texts have no tokens and are not packed; a null ``doc_id`` is packed and stays null; repeated rows are packed each.
 Ties go by ``doc_id``. Other columns are not read. Bins are numbered group * 2**32 + number in the group.
 """
 
@@ -20,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._bpe import ids_of
+
 CAPACITY = 2048
 PER_GROUP = 20_000
 
@@ -89,9 +94,21 @@ def pack(lengths: list[int], capacity: int) -> list[tuple[int, int, int, int, in
     return out
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, per_group: int = PER_GROUP) -> DataFrame:
+def counted(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, tokens) of every document with a text."""
+
+    def run(batches):
+        for batch in batches:
+            counts = [len(ids_of(tokenizer, [text.as_py()])[0]) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "tokens"])
+
+    return docs.filter("octet_length(text) > 0").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, tokens long")
+
+
+def packed(docs: DataFrame, capacity: int = CAPACITY, per_group: int = PER_GROUP, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, piece_begin, piece_tokens, bin, bin_offset) for every piece of every document."""
-    sized = docs.select(F.col("doc_id").cast("long"), F.ceil(F.octet_length("text") / 4).cast("long").alias("tokens")).filter("tokens > 0")
+    estimate = F.ceil(F.octet_length("text") / 4).cast("long").alias("tokens")
+    sized = (counted(docs, tokenizer) if tokenizer else docs.select(F.col("doc_id").cast("long"), estimate)).filter("tokens > 0")
     groups = max(1, -(-docs.count() // per_group))
     spread = sized.withColumn("group", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(groups)))
 

@@ -27,7 +27,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into bins of 2,048 tokens."""
-    return best_fit.packed(_read(spark, sf_dir, "documents"))
+    return best_fit.packed(_read(spark, sf_dir, "documents"), tokenizer=token_ids.TOKENIZER)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,15 @@
 """Operators 3, 4, 6, 7 and 10."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from tessera.llm import ann, best_fit, chat_format, mixing, toxicity
+from tessera.llm import ann, best_fit, chat_format, mixing, queries, token_ids, toxicity
+from tessera.llm._bpe import ids_of
+
+DATA = "/root/testdata/sf0.001"
 
 
 def plain_best_fit(lengths, capacity):
@@ -153,3 +157,18 @@ def test_mixing_in_spark_equals_numpy(spark):
     kept = mixing.sampled(df, rounds=3)
     assert kept.columns == df.columns and kept.count() == a["sampled"].sum()
     assert mixing.drawn(df.limit(0)).count() == 0
+
+
+def test_packing_query_counts_ids_of_the_tokenizer(spark):
+    rows = queries.op3_best_fit_packing(spark, DATA).collect()
+    got, bins, want = Counter(), Counter(), Counter()
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").filter("octet_length(text) > 0").collect():
+        want[r.doc_id] += len(ids_of(token_ids.TOKENIZER, [r.text])[0])
+    for r in rows:
+        got[r.doc_id] += r.piece_tokens
+        bins[r.bin] += r.piece_tokens
+    assert got == want
+    assert max(bins.values()) <= best_fit.CAPACITY
+    odd = spark.createDataFrame([(1, "a <|endoftext|> b"), (1, "a <|endoftext|> b"), (2, ""), (3, None), (None, "\u00fc" * 50)], "doc_id long, text string")
+    want = sorted(len(x) for x in ids_of(token_ids.TOKENIZER, ["a <|endoftext|> b"] * 2 + ["\u00fc" * 50]))
+    assert sorted(r.piece_tokens for r in best_fit.packed(odd, tokenizer=token_ids.TOKENIZER).collect()) == want
