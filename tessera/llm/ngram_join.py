@@ -26,7 +26,8 @@ partners; a text of fewer than ``n`` words is one gram of all its words. Rows
 with a null ``doc_id`` are left out. Documents with equal sets are linked, at
 1.0, to the smallest ``doc_id`` among them, which alone is compared
 further; ``copies_a`` and ``copies_b`` tell how many documents each id stands
-for. Repeated ``doc_id``s with equal text count once. Other columns are not read.
+for. Rows that repeat a ``doc_id`` are one document, whose set is the union of the grams
+of its texts; equal texts count once. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,7 @@ THRESHOLD = 0.55
 BLOCK = 1024
 COUNTERS = 1 << 20
 _EPS = 1e-9
+_POSTINGS = 1 << 17
 _MOST_AT, _MOST_N = (1 << 16) - 1, (1 << 24) - 1
 _TOKEN = np.uint64((1 << 64) - (1 << 16))
 
@@ -69,6 +72,22 @@ def token_sets(s: words.Slice, n: int, common: np.ndarray) -> Iterator[np.ndarra
             yield np.zeros(0, np.uint64)
 
 
+def doc_sets(column: pa.Array, n: int, common: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, grams) of a column of lists of texts: the sets of a row's texts united."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    of, last, sets = pc.list_parent_indices(column).to_numpy(), -1, []
+    for s in words.slices(column.flatten()):
+        for i, g in enumerate(token_sets(s, n, common)):
+            if of[s.first + i] != last:
+                if sets:
+                    yield last, sets[0] if len(sets) == 1 else np.unique(np.concatenate(sets))
+                last, sets = int(of[s.first + i]), []
+            sets.append(g)
+    if sets:
+        yield last, sets[0] if len(sets) == 1 else np.unique(np.concatenate(sets))
+
+
 def meetings(size):
     """How many shared grams a set of this size must show before its group is opened."""
     return 1 + (size * 2) // 25
@@ -84,18 +103,31 @@ def home_of(grams: np.ndarray) -> int:
     return int(words.mix(grams[: max(1, len(grams) // 2)]).min() >> np.uint64(25))
 
 
+def _differing(docs: DataFrame) -> DataFrame:
+    """The ``doc_id``s whose rows differ in text, but for upper case."""
+    text = F.xxhash64(F.lower("text"))
+    return docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("low"), F.max(text).alias("high")).filter("low <> high").select("doc_id")
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.lower("text").alias("text"))
+    """(doc_id, texts) with all texts of a ``doc_id`` in one row; only rows with equal texts may repeat."""
+    some = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.lower("text").alias("text"))
+    differing = stored(_differing(some), "differing")
+    alone = some.select("doc_id", F.array("text").alias("texts"))
+    if differing.isEmpty():
+        return alone
+    united = some.join(differing, "doc_id", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_set("text")).alias("texts"))
+    return alone.join(differing, "doc_id", "left_anti").unionByName(stored(united, "united"))
 
 
-def word_levels(docs: DataFrame, counters: int = COUNTERS) -> np.ndarray:
+def word_levels(texts: DataFrame, counters: int = COUNTERS) -> np.ndarray:
     """How common the words of each counter are, in steps of a doubling; summed over all documents."""
     width = counters // 16
 
     def count(batches):
         total = np.zeros(counters, np.uint32)
         for batch in batches:
-            for s in words.slices(batch.column(1)):
+            for s in words.slices(batch.column(1).flatten()):
                 at, often = np.unique((words.scan(s).hash & np.uint64(counters - 1)).astype(np.int64), return_counts=True)
                 total[at] += often.astype(np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([total[i * width : (i + 1) * width].tobytes() for i in range(16)], pa.binary())], ["part", "counts"])
@@ -106,39 +138,44 @@ def word_levels(docs: DataFrame, counters: int = COUNTERS) -> np.ndarray:
             total += np.frombuffer(x.as_buffer(), np.uint32)
         return pa.table({"part": table["part"][:1], "levels": pa.array([np.ceil(np.log2(total + 1.0)).astype(np.uint8).tobytes()], pa.binary())})
 
-    rows = _texts(docs).mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(merge, "part int, levels binary").collect()
+    rows = texts.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(merge, "part int, levels binary").collect()
     levels = np.zeros(counters, np.uint8)
     for row in rows:
         levels[row.part * width : (row.part + 1) * width] = np.frombuffer(row.levels, np.uint8)
     return levels
 
 
-def _profiles(docs: DataFrame, n: int, levels) -> DataFrame:
+def _profiles(texts: DataFrame, n: int, levels) -> DataFrame:
     def run(batches):
         for batch in batches:
-            ids, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            for s in words.slices(column):
-                rows = [(int(ids[s.first + i]), len(g), int(np.bitwise_xor.reduce(words.mix(g + np.uint64(1))).view(np.int64)), home_of(g)) for i, g in enumerate(token_sets(s, n, levels.value)) if len(g)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "n", "set_hash", "home"])
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            rows = [(int(ids[i]), len(g), int(np.bitwise_xor.reduce(words.mix(g + np.uint64(1))).view(np.int64)), home_of(g)) for i, g in doc_sets(batch.column(1), n, levels.value) if len(g)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "n", "set_hash", "home"])
+
+    return texts.mapInArrow(run, "doc_id long, n int, set_hash long, home long")
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n int, set_hash long, home long")
 
+def _postings(texts: DataFrame, n: int, threshold: float, levels) -> DataFrame:
+    def batch_of(tokens, groups):
+        return pa.RecordBatch.from_arrays([np.concatenate(tokens).view(np.int64), np.concatenate(groups)], ["token_at", "home_n"])
 
-def _postings(docs: DataFrame, n: int, threshold: float, levels) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for s in words.slices(batch.column(1)):
-                tokens, groups = [], []
-                for g in token_sets(s, n, levels.value):
-                    if len(g):
-                        k = prefix_length(len(g), threshold)
-                        tokens.append((g[:k] & _TOKEN) | np.minimum(np.arange(k), _MOST_AT).astype(np.uint64))
-                        groups.append(np.full(k, (home_of(g) << 24) | min(len(g), _MOST_N)))
-                if tokens:
-                    yield pa.RecordBatch.from_arrays([np.concatenate(tokens).view(np.int64), np.concatenate(groups)], ["token_at", "home_n"])
-
-    return _texts(docs).mapInArrow(run, "token_at long, home_n long")
+            tokens, groups, held = [], [], 0
+            for _, g in doc_sets(batch.column(1), n, levels.value):
+                if len(g):
+                    k = prefix_length(len(g), threshold)
+                    tokens.append((g[:k] & _TOKEN) | np.minimum(np.arange(k), _MOST_AT).astype(np.uint64))
+                    groups.append(np.full(k, (home_of(g) << 24) | min(len(g), _MOST_N)))
+                    held += k
+                if held >= _POSTINGS:
+                    yield batch_of(tokens, groups)
+                    tokens, groups, held = [], [], 0
+            if tokens:
+                yield batch_of(tokens, groups)
+
+    return texts.mapInArrow(run, "token_at long, home_n long")
 
 
 def unpacked(token_at: np.ndarray, home_n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -190,14 +227,14 @@ def meeting_groups(token: np.ndarray, home: np.ndarray, n: np.ndarray, tail: np.
         at = end
 
 
-def _group_pairs(docs: DataFrame, n: int, threshold: float, levels) -> DataFrame:
+def _group_pairs(texts: DataFrame, n: int, threshold: float, levels) -> DataFrame:
     def run(batches):
         parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
         if parts:
             for found in meeting_groups(*unpacked(*(np.concatenate(c) for c in zip(*parts))), threshold):
                 yield pa.RecordBatch.from_arrays(list(found), ["home_a", "home_b", "met", "must"])
 
-    found = _postings(docs, n, threshold, levels).repartition(F.shiftright("token_at", 16)).mapInArrow(run, "home_a long, home_b long, met long, must long")
+    found = _postings(texts, n, threshold, levels).repartition(F.shiftright("token_at", 16)).mapInArrow(run, "home_a long, home_b long, met long, must long")
     return found.groupBy("home_a", "home_b").agg(F.sum("met").alias("met"), F.min("must").alias("must")).filter("met >= must").select("home_a", "home_b")
 
 
@@ -286,11 +323,12 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, blo
     With ``forest`` the pairs of one group are thinned to a spanning forest that
     connects the same documents; ``jaccard`` is then 1.0 throughout.
     """
-    levels = docs.sparkSession.sparkContext.broadcast(word_levels(docs))
-    profiles = stored(_profiles(docs, n, levels), "profiles")
+    texts = _texts(docs)
+    levels = docs.sparkSession.sparkContext.broadcast(word_levels(texts))
+    profiles = stored(_profiles(texts, n, levels), "profiles")
     sets = profiles.groupBy("set_hash", "n", "home").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"))
     copies = profiles.join(sets, ["set_hash", "n", "home"]).filter("doc_id <> rep").select(F.col("rep").alias("id_a"), F.col("doc_id").alias("id_b"), F.lit(1.0).alias("jaccard")).distinct()
-    pairs = stored(_group_pairs(docs, n, threshold, levels), "pairs")
+    pairs = stored(_group_pairs(texts, n, threshold, levels), "pairs")
     blocks = sets.groupBy("home").agg(F.count("*").alias("sets"))
     cut = F.pmod(F.xxhash64("rep"), F.ceil(F.col("sets") / block))
     members = sets.join(blocks, "home").select("rep", "n", "home", "sets", cut.cast("int").alias("block"))
@@ -308,15 +346,15 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, blo
     hosts = across.select(F.col("host").alias("home"), F.col("host_block").alias("block"), "host", "host_block")
     visits = inside.unionByName(across).unionByName(hosts).groupBy("home", "block").agg(F.collect_set(F.struct("host", "host_block")).alias("hosts"))
     travel = members.join(visits, ["home", "block"]).select(F.col("rep").alias("doc_id"), "home", "block", "hosts")
-    to = travel.join(_texts(docs), "doc_id").select("doc_id", "home", "block", "text", F.explode("hosts").alias("to")).select(
-        F.col("to.host").alias("host"), F.col("to.host_block").alias("host_block"), "doc_id", ((F.col("to.host") != F.col("home")) | (F.col("to.host_block") != F.col("block"))).alias("guest"), "text"
+    to = travel.join(texts, "doc_id").select("doc_id", "home", "block", "texts", F.explode("hosts").alias("to")).select(
+        F.col("to.host").alias("host"), F.col("to.host_block").alias("host_block"), "doc_id", ((F.col("to.host") != F.col("home")) | (F.col("to.host_block") != F.col("block"))).alias("guest"), "texts"
     )
 
     def group(table: pa.Table) -> pa.Table:
-        table = table.select(["doc_id", "guest", "text"])
+        table = table.select(["doc_id", "guest", "texts"])
         ids, first = np.unique(table["doc_id"].to_numpy(), return_index=True)
         guest = table["guest"].to_numpy(zero_copy_only=False).astype(bool)[first]
-        grams = [g for s in words.slices(table["text"].take(pa.array(first))) for g in token_sets(s, n, levels.value)]
+        grams = [g for _, g in doc_sets(table["texts"].take(pa.array(first)), n, levels.value)]
         a, b, j = open_group(ids, grams, guest, threshold, forest)
         return pa.table({"id_a": a.astype(np.int64), "id_b": b.astype(np.int64), "jaccard": j.astype(np.float64)})
 
@@ -353,13 +391,21 @@ def components(edges: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """``docs`` with one document, of the smallest ``doc_id``, of each group of connected similar documents.
 
-    Rows that repeat a ``doc_id`` are reduced to one, the least by its columns;
-    rows with a null ``doc_id`` and rows without a word all stay.
+    Rows that repeat a ``doc_id`` with equal text, but for upper case, are reduced to one, the least by its
+    columns; with different texts each text is a document of its own here, numbered
+    by ``doc_id`` and hash. Rows with a null ``doc_id`` and rows without a word all stay.
     """
-    roots = stored(components(similar_pairs(docs, n, threshold, block, forest=True)), "roots")
-    left = docs.join(roots.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    repeated = stored(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    key, rows = "doc_id", docs
+    if not _differing(docs).isEmpty():
+        key, mark = "__number", F.xxhash64(F.lower("text")).alias("__mark")
+        texts = docs.filter("doc_id is not null").select("doc_id", mark).distinct().orderBy("doc_id", "__mark")
+        numbers = stored(texts.withColumn(key, F.monotonically_increasing_id()), "numbers")
+        rows = stored(docs.select("*", mark).join(numbers, ["doc_id", "__mark"], "left").select(*docs.columns, key), "numbered")
+    pairs = similar_pairs(rows.select(F.col(key).alias("doc_id"), "text"), n, threshold, block, forest=True)
+    roots = stored(components(pairs), "roots")
+    left = rows.join(roots.select(F.col("doc_id").alias(key)), key, "left_anti")
+    repeated = stored(rows.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").select(key), "repeated")
     if repeated.isEmpty():
-        return left
-    one = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("row")).select("doc_id", "row.*").select(*docs.columns)
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+        return left.select(*docs.columns)
+    one = left.join(repeated, key, "left_semi").groupBy(key).agg(F.min(F.struct(*[c for c in docs.columns if c != key])).alias("row")).select(key, "row.*").select(*docs.columns)
+    return left.join(repeated, key, "left_anti").select(*docs.columns).unionByName(one)

@@ -3,9 +3,11 @@
 import random
 import re
 
+import duckdb
 import pytest
 
 from tessera.llm import ngram_join as nj
+from tessera.llm import queries
 
 WORD = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -85,3 +87,19 @@ def test_chains_are_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "id_a long, id_b long")
     got = {r.doc_id: r.root for r in nj.components(edges).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {101: 100}
+
+
+def test_repeated_ids_with_different_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " " + b), (3, b), (4, c), (5, c + " end"), (6, a), (6, a.upper()), (6, None), (7, "q"), (7, c)]
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    want = sorted((*r[:2], round(r[2], 6), *r[3:]) for r in con.sql(queries.OP2_SQL).fetchall())
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
+        assert sorted((r.id_a, r.id_b, round(r.jaccard, 6), r.copies_a, r.copies_b) for r in nj.similar_pairs(df).collect()) == want
+        kept = nj.keep_one(df)
+        assert kept.columns == df.columns
+        got = sorted(map(tuple, kept.collect()), key=repr)
+        assert got == sorted([(1, a), (1, b), (2, a + " " + b), (4, c), (6, None), (7, "q")], key=repr)
