@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import ann, best_fit, chat_format, mixing, queries, token_ids, toxicity
 from tessera.llm._bpe import ids_of
@@ -137,6 +138,23 @@ def test_neighbours(spark):
     assert ann.neighbours(df.filter("vec_id < 3")).count() == 6
 
 
+def test_vectors_in_small_lists_have_all_neighbours(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 16)).astype(np.float32)
+    seeds = [r.id for r in spark.range(1500).orderBy(F.xxhash64("id"), "id").limit(4).collect()]
+    x[seeds[0]] += 1000
+    tight = [seeds[1], *[i for i in range(10) if i not in seeds][:2]]
+    x[tight] = np.float32(-1000) + 0.01 * x[tight]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.neighbours(df, k=10, list_size=48).toPandas()
+    assert (got.groupby("vec_id").size().reindex(range(1500), fill_value=0) == 10).all()
+    for i in [seeds[0], *tight]:
+        d = np.sqrt(((x.astype(np.float64) - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        mine = got[got["vec_id"] == i].sort_values("rank")
+        assert mine["neighbour_id"].tolist() == np.lexsort((np.arange(1500), d))[:10].tolist() and mine["rank"].tolist() == list(range(1, 11))
+
+
 def test_raking_reaches_the_marginals():
     rng = np.random.default_rng(0)
     names = [np.array([f"{k}{i}" for i in ix]) for k, ix in zip("slt", np.indices((4, 3, 2)).reshape(3, -1))]
