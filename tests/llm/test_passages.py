@@ -52,13 +52,13 @@ def brute(docs, least):
     return covered(False), covered(True)
 
 
-@pytest.mark.parametrize(("seed", "least", "shard"), [(1, 8, 1 << 19), (2, 12, 100), (3, 50, 1 << 19)])
-def test_intervals_equal_brute_force(spark, seed, least, shard):
+@pytest.mark.parametrize(("seed", "least", "shard", "most"), [(1, 8, 1 << 19, 2048), (2, 12, 100, 2048), (3, 50, 1 << 19, 2048), (4, 8, 100, 1), (5, 9, 50, 3)])
+def test_intervals_equal_brute_force(spark, seed, least, shard, most):
     docs = corpus(seed)
     df = spark.createDataFrame([(i, t, i) for i, t in docs] + [(None, docs[0][1], 0), (0, docs[0][1], 0)], "doc_id long, text string, begin int")
     want, later = brute(docs, least)
-    assert {tuple(r) for r in sd.repeated_intervals(df, least, shard).collect()} == want
-    kept = sd.remove_repeats(df.withColumn("n_chars", df.begin.cast("long")), least, shard)
+    assert {tuple(r) for r in sd.repeated_intervals(df, least, shard, most).collect()} == want
+    kept = sd.remove_repeats(df.withColumn("n_chars", df.begin.cast("long")), least, shard, most)
     assert kept.columns == ["doc_id", "text", "begin", "n_chars"]
     texts = {}
     for i, t in docs:
@@ -80,6 +80,46 @@ def test_empty_table(spark):
     assert sd.repeated_intervals(df).count() == 0 and sd.remove_repeats(df).count() == 0
 
 
+@pytest.mark.parametrize("least", [0, 1, 65])
+def test_lengths_beyond_the_index_are_refused(spark, least):
+    with pytest.raises(ValueError):
+        sd.repeated_intervals(spark.createDataFrame([], "doc_id long, text string"), least)
+
+
+def test_clashing_names_and_long_texts(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    long = " ".join(f"w{i}" for i in range(300_000)) + " " + passage
+    names = ["doc_id", "text", "__cuts", "cuts", "row", "key", "kept", "__kept", "later", "anchor", "n.chars"]
+    df = spark.createDataFrame([(i, t, *"abcdefghi") for i, t in ((1, passage), (2, long), (3, passage + " tail"), (4, None), (5, ""))], ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    kept = sd.remove_repeats(df)
+    assert kept.columns == names
+    got = {r.doc_id: tuple(r) for r in kept.collect()}
+    assert {i: r[1] for i, r in got.items()} == {1: passage, 2: long[: -len(passage)], 3: " tail", 4: None, 5: ""}
+    assert all(r[2:] == tuple("abcdefghi") for r in got.values())
+
+
+def test_shards_are_closed_between_anchors(spark):
+    seen = []
+    rows = [(a, c, c, False, " ".join(f"x{a}y{i}" for i in range(40))) for a in range(60) for c in range(1 + a % 3)]
+    contexts = spark.createDataFrame(rows, "anchor long, context long, doc_id long, copied boolean, text string")
+    for shard in (1, 200, 1 << 18):
+        got = sorted(map(tuple, sd._search(contexts, 20, shard).collect()))
+        seen.append(got)
+        assert {(r[0], r[1]) for r in got} == {(a, c) for a, c, *_ in rows if a % 3}
+        assert all(r[4] == 0 for r in got)
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_next_smaller_prefixes():
+    rng = np.random.default_rng(1)
+    for n in (1, 70, 5000, 20_000):
+        lcp = np.r_[-1, rng.integers(0, 50, n) if n < 10_000 else np.full(n, 40), -1].astype(np.int8)
+        index, at = sd.Prefixes(lcp), rng.integers(1, n + 1, 200)
+        value = np.maximum(0, lcp[at].astype(np.int64) - rng.integers(0, 3, 200))
+        assert index.smaller(at, value, -1).tolist() == [max(j for j in range(i) if lcp[j] < v) for i, v in zip(at, value)]
+        assert index.smaller(at, value, 1).tolist() == [min(j for j in range(i + 1, n + 2) if lcp[j] < v) for i, v in zip(at, value)]
+
+
 def test_backward_search_counts_occurrences():
     rng = np.random.default_rng(4)
     text = np.r_[rng.integers(1, 5, 300), 0, rng.integers(1, 5, 200), 0]
