@@ -3,23 +3,24 @@
 A word is the bag of its character n-grams (3 to 5 bytes of ``<word>``; not the word as a
 whole, which would learn spellings by heart), hashed to rows of an embedding matrix. A bag of words is the mean of its
 subword embeddings, classified by a linear softmax; embeddings and softmax are trained
-jointly in numpy on the driver (Adam on full batches). As n-grams are shared, a
+jointly in numpy, in one task (Adam). As n-grams are shared, a
 misspelling never seen in training lands near the word it distorts.
 
 A label speaks of a whole document, the words at fault are few. Training therefore
-starts with whole documents as bags and goes on, in a few rounds, with the ``window``
+starts with whole documents as bags, all of the sample in batches of ``BATCH``, and goes on, in a few rounds, with the ``window``
 words of each document that the model so far finds most toxic. A document is scored by the
 highest of all its windows, at whatever length. The decision threshold is
 set on labelled documents held out of training, where F1 is best; within the gap between the scores there, a quarter
 of the way up from the clean side, as unseen misspellings score below the words they distort.
 
 The only bounded part is the training sample: at most ``toxic_rows`` and ``clean_rows``
-labelled documents, those with the smallest hashes of ``doc_id``. Every document is scored.
+labelled documents that have a text, those with the smallest hashes of ``doc_id``. Every document is scored.
 
 Defined results: a text without a word, or null, scores 0.0 and is not toxic; a null
 ``doc_id`` is scored like any other; repeated rows score alike, each in its own
 row; labels that are null or unmatched are ignored, contradictory ones count as toxic; without labels of
-both classes every document scores 0.0.
+both classes every document scores 0.0. Texts are read whole at any length; other columns, whatever their names, are not read, or are
+passed through by ``reject_toxic``; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,12 +34,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _words as words
 
-TOXIC_ROWS = 1500
+TOXIC_ROWS = 2000
 CLEAN_ROWS = 4000
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 WINDOW = 5
 ROUNDS = 4
+BATCH = 600
 DECAY = 0.1
 
 
@@ -95,7 +97,7 @@ def best_windows(score: np.ndarray, count: np.ndarray, of_row: np.ndarray, windo
     best, place = np.full(len(of_row) - 1, -np.inf), np.full(len(of_row) - 1, -1)
     if n == 0:
         return best, place
-    s, c = np.r_[0, np.cumsum(score)], np.r_[0, np.cumsum(count)]
+    s, c = np.r_[0, np.cumsum(score, dtype=np.float64)], np.r_[0, np.cumsum(count)]
     row = np.repeat(np.arange(len(of_row) - 1), np.diff(of_row))
     stop = np.minimum(np.arange(n) + window, of_row[1:][row])
     mean = (s[stop] - s[:-1]) / (c[stop] - c[:-1])
@@ -173,8 +175,9 @@ def train(texts: list[str], label: np.ndarray, buckets: int = BUCKETS, window: i
         return state["E"] @ (state["W"][:, 1] - state["W"][:, 0])
 
     bag = lambda row, at, n: entry[at : min(at + n, x.of_row[row + 1])]
-    some = fit_rows[np.argsort(words.mix(fit_rows.astype(np.uint64)), kind="stable")][:600]
-    _fit([bag(r, x.of_row[r], 1 << 62) for r in some], label[some], subword, first, state, 25, 0.05)
+    mixed = fit_rows[np.argsort(words.mix(fit_rows.astype(np.uint64)), kind="stable")]
+    for some in np.array_split(mixed, -(-len(mixed) // BATCH)) if len(mixed) else ():
+        _fit([bag(r, x.of_row[r], 1 << 62) for r in some], label[some], subword, first, state, 8, 0.05)
     quiet, hard = fit_rows[label[fit_rows] == 0], []
     loud = fit_rows[label[fit_rows] == 1]
     for _ in range(rounds):
@@ -209,6 +212,7 @@ def score_slice(model: Model, s: words.Slice, window: int) -> np.ndarray:
 def labelled_model(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, window: int = WINDOW) -> Model:
     """The model trained on a bounded sample of ``labels`` (doc_id, toxic) and the texts of ``docs``."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
+    known = known.join(docs.filter("text is not null").select("doc_id"), "doc_id", "left_semi")
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     sample = known.filter("toxic = 1").orderBy(*order).limit(toxic_rows).unionByName(known.filter("toxic = 0").orderBy(*order).limit(clean_rows))
     texts = docs.filter("text is not null").select("doc_id", "text")

@@ -1,13 +1,14 @@
 """Operators 3, 4, 6, 7 and 10."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, best_fit, chat_format, mixing, queries, token_ids, toxicity
+from tessera.llm import _words, ann, best_fit, chat_format, mixing, queries, token_ids, toxicity
 from tessera.llm._bpe import ids_of
 
 DATA = "/root/testdata/sf0.001"
@@ -92,6 +93,54 @@ def test_toxicity_on_held_out_and_misspelt_documents(spark):
     assert kept.count() == sum(not r.toxic for r in toxicity.scores(docs, labels).collect())
 
 
+def plain_logit(model, text, window):
+    """The highest window logit, one word and one n-gram at a time."""
+    grams = []
+    for word in re.findall(rb"[0-9a-zA-Z\x80-\xff]+", (text or "").encode()):
+        data, total, count = b"<" + word.lower() + b">", 0.0, 0
+        for n in (3, 4, 5):
+            for i in range(len(data) - n + 1):
+                h = 0
+                for b in data[i : i + n]:
+                    h = (h * int(_words._BASE) + b + (n << 8)) % (1 << 64)
+                total, count = total + float(model.weight[int(_words.mix(np.array([h], np.uint64))[0]) % len(model.weight)]), count + 1
+        grams.append((total, count))
+    size = min(window, len(grams))
+    runs = [grams[i : i + size] for i in range(len(grams) - size + 1)] if grams else []
+    return max((sum(s for s, _ in r) / sum(c for _, c in r) for r in runs), default=-np.inf) + model.bias
+
+
+def test_toxicity_query_equals_plain_scoring(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.labelled_model(docs, labels)
+    got = {r.doc_id: r for r in queries.op4_toxicity(spark, DATA).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        logit = plain_logit(model, r.text, toxicity.WINDOW)
+        assert abs(got[r.doc_id].toxic_score - (1 / (1 + np.exp(-max(logit, -700))) if np.isfinite(logit) else 0)) < 1e-4
+        if abs(logit - model.threshold) > 1e-3:
+            assert got[r.doc_id].toxic == (logit >= model.threshold)
+
+
+def test_toxicity_of_odd_rows(spark):
+    rows = labelled(300, 4, BAD)
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows] + [(0, 0), (3, 0), (3, 1), (1, 0), (1, 0)], "doc_id long, toxic int")
+    base = [(i, t, 0) for i, t, _ in rows]
+    long = "fine " * 200_000 + BAD[0] + " " + BAD[1] + " fine" * 200_000
+    docs = spark.createDataFrame([*base, base[0], (900, long, 0), (901, long.replace(BAD[0], "fine").replace(BAD[1], "fine"), 0)], "doc_id long, text string, toxic_score int")
+    got = {}
+    for r in toxicity.scores(docs, labels).collect():
+        got.setdefault(r.doc_id, []).append((r.toxic_score, r.toxic))
+    assert len(got[0]) == 2 and len(set(got[0])) == 1 and got[0][0][1] == 1
+    assert got[900][0][1] == 1 and got[901][0][1] == 0
+    assert toxicity.reject_toxic(docs, labels).filter("doc_id = 900").isEmpty()
+    model = toxicity.labelled_model(docs, labels)
+    unmatched = labels.unionByName(spark.range(10_000, 14_000).selectExpr("id doc_id", "1 toxic"))
+    again = toxicity.labelled_model(docs, unmatched, toxic_rows=2000)
+    assert np.allclose(model.weight, again.weight) and model.threshold == again.threshold
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
