@@ -24,3 +24,9 @@ def ids_of(path: str, texts: list[str]) -> list[np.ndarray]:
     """Ids of each text."""
     encode = encoding(path).encode_to_numpy
     return [encode(t, disallowed_special=()) for t in texts]
+
+
+def count_column(path: str, column) -> np.ndarray:
+    """Ids of each text of an Arrow column, one text at a time; 0 for null."""
+    encode = encoding(path).encode_to_numpy
+    return np.array([len(encode(x, disallowed_special=())) if (x := text.as_py()) else 0 for text in column], np.int64)

@@ -12,7 +12,7 @@ the counts leave the task. Without one, a token stands for four UTF-8 bytes, the
 the true count of most texts, so that bins packed by it can exceed the capacity in real tokens.
 
 Defined results: null and empty texts have no tokens and are not packed; a null ``doc_id`` is packed and stays null; repeated rows are packed each.
-Ties go by ``doc_id``. Other columns are not read. Bins are numbered group * 2**32 + number in the group.
+Ties go by ``doc_id``. Other columns, whatever their names, are not read; an empty table gives an empty one; long texts are counted whole. Bins are numbered group * 2**32 + number in the group.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._bpe import ids_of
+from tessera.llm._bpe import count_column
+from tessera.llm._shared import stored
 
 CAPACITY = 2048
 PER_GROUP = 20_000
@@ -99,8 +100,7 @@ def counted(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            counts = [len(ids_of(tokenizer, [text.as_py()])[0]) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), count_column(tokenizer, batch.column(1))], ["doc_id", "tokens"])
 
     return docs.filter("octet_length(text) > 0").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, tokens long")
 
@@ -108,8 +108,8 @@ def counted(docs: DataFrame, tokenizer: str) -> DataFrame:
 def packed(docs: DataFrame, capacity: int = CAPACITY, per_group: int = PER_GROUP, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, piece_begin, piece_tokens, bin, bin_offset) for every piece of every document."""
     estimate = F.ceil(F.octet_length("text") / 4).cast("long").alias("tokens")
-    sized = (counted(docs, tokenizer) if tokenizer else docs.select(F.col("doc_id").cast("long"), estimate)).filter("tokens > 0")
-    groups = max(1, -(-docs.count() // per_group))
+    sized = stored((counted(docs, tokenizer) if tokenizer else docs.select(F.col("doc_id").cast("long"), estimate)).filter("tokens > 0"), "sized")
+    groups = max(1, -(-sized.count() // per_group))
     spread = sized.withColumn("group", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(groups)))
 
     def run(table: pa.Table) -> pa.Table:

@@ -62,7 +62,7 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its sampling probability and the draw."""
-    return mixing.drawn(_read(spark, sf_dir, "documents"))
+    return mixing.drawn(_read(spark, sf_dir, "documents"), tokenizer=token_ids.TOKENIZER)
 
 
 _WORDS = r"regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
@@ -90,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_media_chunks": media_chunks.SQL, "op2_ngram_jaccard_join": OP2_SQL, "op6_chat_format": chat_format.SQL, "op8_warc": warc.SQL, "op10_mixing": mixing.SQL}
+    return {"op1_media_chunks": media_chunks.SQL, "op2_ngram_jaccard_join": OP2_SQL, "op6_chat_format": chat_format.SQL, "op8_warc": warc.SQL}

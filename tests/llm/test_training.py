@@ -1,9 +1,11 @@
 """Operators 3, 4, 6, 7 and 10."""
 
+import hashlib
 import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -226,6 +228,65 @@ def test_mixing_in_spark_equals_numpy(spark):
     assert mixing.drawn(df.limit(0)).count() == 0
 
 
+def test_mixing_in_bytes_equals_duckdb(spark):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    want = con.sql(mixing.SQL)
+    got = mixing.drawn(spark.read.parquet(f"{DATA}/documents.parquet")).select(*want.columns).collect()
+    near = lambda rows: sorted((tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
+    assert near(map(tuple, got)) == near(want.fetchall())
+
+
+def test_mixing_query_equals_plain_raking_of_real_tokens(spark):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = queries.op10_mixing(spark, DATA).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    assert all(r.n_tokens == max(1, len(ids_of(token_ids.TOKENIZER, [docs[r.doc_id].text or ""])[0])) for r in rows)
+    tokens = Counter()
+    for r in rows:
+        tokens[r.source, r.lang, r.topic] += r.n_tokens
+    total = sum(tokens.values())
+    goals = []
+    for k in range(3):
+        share = Counter()
+        for c, n in tokens.items():
+            share[c[k]] += n
+        share = {v: (n / total) ** mixing.TEMPER for v, n in share.items()}
+        goals.append({v: x / sum(share.values()) for v, x in share.items()})
+    weight, room = {c: n / total for c, n in tokens.items()}, {c: n / total / mixing.FRACTION for c, n in tokens.items()}
+    for _ in range(mixing.ROUNDS):
+        for k in range(3):
+            held = Counter()
+            for c, w in weight.items():
+                held[c[k]] += w
+            weight = {c: min(w * goals[k][c[k]] / held[c[k]], room[c]) for c, w in weight.items()}
+    for r in rows:
+        p = min(1.0, weight[r.source, r.lang, r.topic] / room[r.source, r.lang, r.topic])
+        u = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:13], 16) / (1 << 52)
+        assert abs(r.probability - p) < 2e-6 and (r.sampled == (u < p) or abs(u - p) < 1e-9)
+
+
+@pytest.mark.parametrize("cells", [0, 1000])
+def test_mixing_targets_that_cannot_be_met(spark, cells):
+    df = spark.createDataFrame([(1, "a", "s", "en"), (2, "b", "t", "de")], "doc_id long, text string, source string, lang string")
+    for wrong in ({"lang": {"fr": 1.0}}, {"lang": {}}, {"lang": {"en": -1.0}}, {"lang": {"en": float("nan")}}, {"tone": {"x": 1.0}}):
+        with pytest.raises(ValueError):
+            mixing.sampled(df, wrong, local_cells=cells)
+    assert mixing.sampled(df, {"lang": {"en": 1.0, "fr": 1.0}}, fraction=1.0, local_cells=cells).filter("lang <> 'en'").isEmpty()
+    assert mixing.sampled(df.limit(0), {"lang": {"fr": 1.0}}, local_cells=cells).isEmpty()
+
+
+def test_mixing_with_clashing_names_topics_and_long_texts(spark):
+    names = ["doc_id", "text", "source", "lang", "topic", "__tokens", "tokens", "row", "draw", "p", "n_tokens", "n.x"]
+    rows = [(i, t, "s", None, topic, *"tuvwxyz") for i, t, topic in ((1, "word " * 400_000, "long"), (2, None, None), (3, "", "b"), (4, "x", "b"), (None, "y", "c"), (4, "x", "b"))]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    out = mixing.drawn(df, tokenizer=token_ids.TOKENIZER).collect()
+    assert sorted((r.topic, r.n_tokens) for r in out) == [("", 1), ("b", 1), ("b", 1), ("b", 1), ("c", 1), ("long", len(ids_of(token_ids.TOKENIZER, [rows[0][1]])[0]))]
+    every = mixing.sampled(df, {"topic": {"b": 1.0}}, fraction=0.0000001, tokenizer=token_ids.TOKENIZER)
+    assert every.columns == names
+    assert {r.topic for r in mixing.sampled(df, fraction=1.0, temper=1.0, tokenizer=token_ids.TOKENIZER).collect()} == {"long", None, "b", "c"}
+
+
 def test_packing_query_counts_ids_of_the_tokenizer(spark):
     rows = queries.op3_best_fit_packing(spark, DATA).collect()
     got, bins, want = Counter(), Counter(), Counter()
