@@ -13,7 +13,9 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can reach, from ``spark.checkpoint.dir``.
+    """Folder that every executor can reach, from ``spark.checkpoint.dir``, with its file system's scheme.
+
+    A setting without a scheme lies in Spark's default file system, for tables and side files alike.
 
     What is written there stays until the folder is cleared, as results are read from it lazily.
     A temporary folder, removed at the end, is used only where the setting is absent and the master
@@ -22,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     there = spark.conf.get(CHECKPOINT_CONF, None)
     if not there:
         master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if master != "local" and not master.startswith("local["):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -30,7 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set(CHECKPOINT_CONF, there)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(there)
-    return there
+    path = spark._jvm.org.apache.hadoop.fs.Path(there)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -45,6 +48,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table made by ``stored``, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def filesystem(uri: str):
     """pyarrow filesystem and path of a ``file:``, ``hdfs:`` or object-store URI."""
     from pyarrow import fs

@@ -18,8 +18,8 @@ collisions of 58-bit gram hashes.
    full union of the group's grams; only queries that pass it open the group, where
    overlaps are counted exactly.
 
-Groups of over ``block`` distinct sets are cut into blocks that visit each other,
-so no task holds more than one block of a hot group; nothing is dropped.
+Groups of over ``block`` distinct sets are cut into blocks that visit each other, and the guests of a
+block are cut likewise, so an opened group is one block of members and one of guests; nothing is dropped.
 
 Defined results: texts without a word and null texts have no grams and no
 partners; a text of fewer than ``n`` words is one gram of all its words. Rows
@@ -27,7 +27,8 @@ with a null ``doc_id`` are left out. Documents with equal sets are linked, at
 1.0, to the smallest ``doc_id`` among them, which alone is compared
 further; ``copies_a`` and ``copies_b`` tell how many documents each id stands
 for. Rows that repeat a ``doc_id`` are one document, whose set is the union of the grams
-of its texts; equal texts count once. Other columns are not read.
+of its texts; equal texts count once. Texts are read whole at any length. Other columns, whatever their names, are not read,
+or are passed through by ``keep_one``; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _words as words
-from tessera.llm._shared import stored
+from tessera.llm._shared import discard, stored
 
 N = 3
 THRESHOLD = 0.55
@@ -272,8 +273,8 @@ def overlaps(sets: list[np.ndarray], members: int) -> np.ndarray:
     return out
 
 
-def open_group(ids: np.ndarray, sets: list[np.ndarray], guest: np.ndarray, threshold: float, forest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Similar pairs among a group's members, and between them and the guests that pass the bound."""
+def open_group(ids: np.ndarray, sets: list[np.ndarray], guest: np.ndarray, threshold: float, forest: bool, among: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Similar pairs among a group's members, unless ``among`` is false, and between them and the guests that pass the bound."""
     order = np.lexsort((ids, guest))
     ids, guest, sets = ids[order], guest[order], [sets[i] for i in order]
     members = int((~guest).sum())
@@ -293,6 +294,8 @@ def open_group(ids: np.ndarray, sets: list[np.ndarray], guest: np.ndarray, thres
     jaccard = shared / (sizes[:, None] + sizes[None, :members] - shared.astype(np.float64))
     similar = jaccard >= threshold - _EPS
     similar[np.arange(members), np.arange(members)] = False
+    if not among:
+        similar[:members] = False
     if forest:
         seen = np.zeros(len(ids), bool)
         a, b = [], []
@@ -317,10 +320,10 @@ def open_group(ids: np.ndarray, sets: list[np.ndarray], guest: np.ndarray, thres
     return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), jaccard[i, j]
 
 
-def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, block: int = BLOCK, forest: bool = False) -> DataFrame:
-    """Pairs (id_a < id_b, jaccard, copies_a, copies_b) of similar documents.
+def _near(docs: DataFrame, n: int, threshold: float, block: int, forest: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs of different sets, exact copies as pairs, the distinct sets).
 
-    With ``forest`` the pairs of one group are thinned to a spanning forest that
+    With ``forest`` the pairs of one opened group are thinned to a spanning forest that
     connects the same documents; ``jaccard`` is then 1.0 throughout.
     """
     texts = _texts(docs)
@@ -345,22 +348,33 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, blo
     across = met.select("home", "host", "many", F.explode(F.sequence(F.lit(0), last("few"))).alias("block")).select("home", "block", "host", F.explode(F.sequence(F.lit(0), last("many"))).alias("host_block"))
     hosts = across.select(F.col("host").alias("home"), F.col("host_block").alias("block"), "host", "host_block")
     visits = inside.unionByName(across).unionByName(hosts).groupBy("home", "block").agg(F.collect_set(F.struct("host", "host_block")).alias("hosts"))
-    travel = members.join(visits, ["home", "block"]).select(F.col("rep").alias("doc_id"), "home", "block", "hosts")
-    to = travel.join(texts, "doc_id").select("doc_id", "home", "block", "texts", F.explode("hosts").alias("to")).select(
-        F.col("to.host").alias("host"), F.col("to.host_block").alias("host_block"), "doc_id", ((F.col("to.host") != F.col("home")) | (F.col("to.host_block") != F.col("block"))).alias("guest"), "texts"
+    travel = members.join(visits, ["home", "block"]).select(F.col("rep").alias("doc_id"), "home", "block", F.explode("hosts").alias("to"))
+    guest = ((F.col("to.host") != F.col("home")) | (F.col("to.host_block") != F.col("block"))).alias("guest")
+    seats = stored(travel.select("doc_id", "to.host", "to.host_block", guest), "seats")
+    tables = seats.filter("guest").groupBy("host", "host_block").agg((F.ceil(F.count("*") / block) - 1).cast("int").alias("last"))
+    own = F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))
+    seated = seats.join(tables, ["host", "host_block"], "left").select(
+        "doc_id", "host", "host_block", "guest", F.explode(F.when(F.col("guest"), F.array(F.pmod(F.xxhash64("doc_id"), F.col("last") + 1).cast("int"))).otherwise(own)).alias("guest_block")
     )
+    visit = F.struct("host", "host_block", "guest", "guest_block")
+    to = seated.groupBy("doc_id").agg(F.collect_list(visit).alias("visits")).join(texts, "doc_id").select("doc_id", "texts", F.explode("visits").alias("to")).select("doc_id", "texts", "to.*")
 
     def group(table: pa.Table) -> pa.Table:
+        first_block = table["guest_block"][0].as_py() == 0
         table = table.select(["doc_id", "guest", "texts"])
         ids, first = np.unique(table["doc_id"].to_numpy(), return_index=True)
         guest = table["guest"].to_numpy(zero_copy_only=False).astype(bool)[first]
         grams = [g for _, g in doc_sets(table["texts"].take(pa.array(first)), n, levels.value)]
-        a, b, j = open_group(ids, grams, guest, threshold, forest)
+        a, b, j = open_group(ids, grams, guest, threshold, forest, first_block)
         return pa.table({"id_a": a.astype(np.int64), "id_b": b.astype(np.int64), "jaccard": j.astype(np.float64)})
 
-    near = to.groupBy("host", "host_block").applyInArrow(group, "id_a long, id_b long, jaccard double")
-    if forest:
-        return near.unionByName(copies)
+    near = to.groupBy("host", "host_block", "guest_block").applyInArrow(group, "id_a long, id_b long, jaccard double")
+    return near, copies, sets
+
+
+def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Pairs (id_a < id_b, jaccard, copies_a, copies_b) of similar documents."""
+    near, copies, sets = _near(docs, n, threshold, block, False)
     counts = sets.groupBy("rep").agg(F.max("copies").alias("copies"))
     a, b = (counts.select(F.col("rep").alias(f"id_{x}"), F.col("copies").alias(f"copies_{x}")) for x in "ab")
     named = near.join(a, "id_a").join(b, "id_b").unionByName(copies.join(a, "id_a").withColumn("copies_b", F.lit(1).cast("long")))
@@ -370,21 +384,24 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, blo
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, root) of every document with an edge; root is the smallest id it is connected to.
 
-    Large-star and small-star rounds (Kiveris et al., 2014) on the edge table,
-    each stored in the shared folder, until a round changes nothing.
+    Large-star and small-star rounds (Kiveris et al., 2014) on the edge table by minima and joins, without a list of any
+    vertex's neighbours; each is stored in the shared folder in place of the last, until a round changes nothing.
     """
-    both = lambda e: e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    lowest = lambda e: e.groupBy("u").agg(F.min("v").alias("m"))
     now = stored(edges.select(F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v")).filter("u <> v").distinct(), "edges")
     mark = None
     while True:
-        near = both(now).groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("vs")).withColumn("m", F.least("m", "u"))
-        large = near.select("u", "m", F.explode("vs").alias("v")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("vs"))
-        small = down.select("m", F.explode(F.concat("vs", F.array("u"))).alias("u")).filter("u <> m").select("u", F.col("m").alias("v")).distinct()
-        now = stored(small, "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = lowest(both).withColumn("m", F.least("m", "u"))
+        large = both.filter("v > u").join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = lowest(large)
+        hung = large.join(down, "u").select("m", F.explode(F.array("u", "v")).alias("u"))
+        after = stored(hung.filter("u <> m").select("u", F.col("m").alias("v")).distinct(), "edges")
+        state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        discard(now)
+        now = after
         if state == mark:
-            return now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("doc_id"), "root")
+            return lowest(now).select(F.col("u").alias("doc_id"), F.col("m").alias("root"))
         mark = state
 
 
@@ -395,17 +412,19 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, block: i
     columns; with different texts each text is a document of its own here, numbered
     by ``doc_id`` and hash. Rows with a null ``doc_id`` and rows without a word all stay.
     """
-    key, rows = "doc_id", docs
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("number"), "text")
     if not _differing(docs).isEmpty():
-        key, mark = "__number", F.xxhash64(F.lower("text")).alias("__mark")
-        texts = docs.filter("doc_id is not null").select("doc_id", mark).distinct().orderBy("doc_id", "__mark")
-        numbers = stored(texts.withColumn(key, F.monotonically_increasing_id()), "numbers")
-        rows = stored(docs.select("*", mark).join(numbers, ["doc_id", "__mark"], "left").select(*docs.columns, key), "numbered")
-    pairs = similar_pairs(rows.select(F.col(key).alias("doc_id"), "text"), n, threshold, block, forest=True)
-    roots = stored(components(pairs), "roots")
-    left = rows.join(roots.select(F.col("doc_id").alias(key)), key, "left_anti")
-    repeated = stored(rows.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").select(key), "repeated")
+        mark = F.xxhash64(F.lower("text")).alias("mark")
+        texts = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), mark).distinct().orderBy("id", "mark")
+        numbers = stored(texts.withColumn("number", F.monotonically_increasing_id()), "numbers")
+        rows = stored(docs.select(row, F.col("doc_id").alias("id"), "text", mark).join(numbers, ["id", "mark"], "left").select("row", "number", "text"), "numbered")
+    near, copies, _ = _near(rows.select(F.col("number").alias("doc_id"), "text"), n, threshold, block, True)
+    gone = stored(components(near).select(F.col("doc_id").alias("number")).unionByName(copies.select(F.col("id_b").alias("number"))).distinct(), "gone")
+    left = rows.join(gone, "number", "left_anti")
+    columns = [F.col("row")[c].alias(c) for c in docs.columns]
+    repeated = stored(rows.filter("number is not null").groupBy("number").count().filter("count > 1").select("number"), "repeated")
     if repeated.isEmpty():
-        return left.select(*docs.columns)
-    one = left.join(repeated, key, "left_semi").groupBy(key).agg(F.min(F.struct(*[c for c in docs.columns if c != key])).alias("row")).select(key, "row.*").select(*docs.columns)
-    return left.join(repeated, key, "left_anti").select(*docs.columns).unionByName(one)
+        return left.select(*columns)
+    one = left.join(repeated, "number", "left_semi").groupBy("number").agg(F.min("row").alias("row")).select(*columns)
+    return left.join(repeated, "number", "left_anti").select(*columns).unionByName(one)

@@ -78,6 +78,30 @@ def test_one_of_each_group_stays(spark):
     assert sum(r.doc_id is None for r in got) == 1
 
 
+def test_clashing_names_copies_and_long_texts(spark):
+    names = ["doc_id", "text", "number", "row", "mark", "id", "home", "to", "__number", "a.b"]
+    long = " ".join(f"w{i}" for i in range(200_000))
+    texts = [(1, long), (2, long + " end"), (3, "p q r s"), *((i, "one two three four") for i in range(10, 40)), (3, "p q r s"), (4, None), (None, "p q r s"), (5, "")]
+    df = spark.createDataFrame([(i, t, *"abcdefgh") for i, t in texts], ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    kept = nj.keep_one(df, block=2)
+    assert kept.columns == names
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 3), (False, 4), (False, 5), (False, 10), (True, 0)]
+
+
+@pytest.mark.parametrize("forest", [True, False])
+def test_a_hot_group_is_opened_in_bounded_blocks(spark, forest, tmp_path):
+    docs = [(i, " ".join(f"c{k}" for k in range(60)) + f" u{i}") for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    near, copies, sets = nj._near(df, 3, 0.55, 4, forest)
+    pairs = {(r.id_a, r.id_b) for r in near.collect()}
+    root = {i: i for i, _ in docs}
+    for a, b in sorted(pairs):
+        old, new = max(root[a], root[b]), min(root[a], root[b])
+        root = {k: new if v == old else v for k, v in root.items()}
+    assert set(root.values()) == {0} and copies.isEmpty() and sets.count() == 60
+    assert forest or len(pairs) == 60 * 59 // 2
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert nj.similar_pairs(df).count() == 0 and nj.keep_one(df).count() == 0
