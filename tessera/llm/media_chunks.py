@@ -6,12 +6,14 @@ bytes from the last cut, so an insertion moves only the cuts beside it. Every ch
 Payloads are written once, without a shuffle: each task appends the chunks it hasn't met to a pack
 file in the shared folder, compressed one by one. What is shuffled is metadata only: the *manifest* (ordered
 chunk digests of each medium) and the chunks' places. A Spark aggregation keeps one place per digest over all packs, a join
-gives each manifest its places, and the ordered list is read back from the packs, joined, and verified by the
-digests of the chunks and of the whole medium. A chunk met by several tasks is in several packs, of which one copy is
+gives each manifest its places, and the ordered list is read back from the packs, neighbouring chunks by one ranged read, joined, and verified by the
+digests of the chunks and of the whole medium. Media are spread for that by ranges of their first chunk's place and their number, so
+those that share a first chunk are spread too. A chunk met by several tasks is in several packs, of which one copy is
 referenced; ``unreferenced`` lists the others for a later compaction.
 
 Defined results: a null payload is null again, an empty one empty, both without chunks and ``verified``; ids may be null or
-repeat, every row is a medium; a lost or damaged chunk gives ``verified`` false. Other columns are not read.
+repeat, every row is a medium; a lost or damaged chunk gives ``verified`` false. Payloads are chunked whole at any length. Columns are found by name;
+other columns are not read; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from tessera.llm import _words as words
 from tessera.llm._shared import filesystem, fresh_path, stored
 
 LEAST, MOST, BITS = 512, 16384, 11
+GAP, AT_ONCE, PER_TASK = 1 << 14, 1 << 22, 1 << 24
 GEAR = (words.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -90,7 +93,7 @@ def chunked(media: DataFrame, folder: str, least: int = LEAST, most: int = MOST,
                     yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
         fs.move(draft, f"{root}/{pack}")
 
-    return stored(media.mapInArrow(run, _SCHEMA), "manifest")
+    return stored(media.select(F.col("id").cast("long"), F.col("payload").cast("binary")).mapInArrow(run, _SCHEMA), "manifest")
 
 
 _SCHEMA = "medium long, id long, n_bytes long, sha256 string, chunks array<struct<digest: binary, pack: string, offset: long, packed: long>>"
@@ -116,27 +119,39 @@ def reconstructed(manifest: DataFrame) -> DataFrame:
     store = chunk_store(manifest).withColumnRenamed("packed", "size")
     placed = _places(manifest).select("medium", "place", "digest").join(store, "digest")
     lists = placed.groupBy("medium").agg(F.sort_array(F.collect_list(F.struct("place", "digest", "pack", "offset", "size"))).alias("list"))
-    ordered = manifest.select("medium", "id", "n_bytes", "sha256").join(lists, "medium", "left").withColumn("near", F.col("list")[0]["pack"])
+    first = F.get("list", F.lit(0))
+    ordered = manifest.select("medium", "id", "n_bytes", "sha256").join(lists, "medium", "left").select("*", first["pack"].alias("near"), first["offset"].alias("at"))
 
     def run(batches):
         open_: dict[str, object] = {}
+
+        def read(pack: str, begin: int, size: int) -> bytes:
+            if pack not in open_:
+                if len(open_) >= 64:
+                    open_.pop(next(iter(open_))).close()
+                fs, name = filesystem(pack)
+                open_[pack] = fs.open_input_file(name)
+            return open_[pack].read_at(size, begin)
+
         try:
             for batch in batches:
                 rows, held = [], 0
-                for row in batch.to_pylist():
+                for k in range(batch.num_rows):
+                    row = {name: batch.column(name)[k].as_py() for name in ("id", "n_bytes", "sha256", "list")}
                     parts, good = [], True
-                    for c in row["list"] or ():
+                    for run_ in together(row["list"] or ()):
+                        begin, end = run_[0]["offset"], run_[-1]["offset"] + run_[-1]["size"]
                         try:
-                            if c["pack"] not in open_:
-                                if len(open_) >= 64:
-                                    open_.pop(next(iter(open_))).close()
-                                fs, name = filesystem(c["pack"])
-                                open_[c["pack"]] = fs.open_input_file(name)
-                            part = zlib.decompress(open_[c["pack"]].read_at(c["size"], c["offset"]))
-                            good &= hashlib.sha256(part).digest() == c["digest"]
-                            parts.append(part)
-                        except (OSError, zlib.error):
-                            good = False
+                            data = read(run_[0]["pack"], begin, end - begin)
+                        except OSError:
+                            data = b""
+                        for c in run_:
+                            try:
+                                part = zlib.decompress(data[c["offset"] - begin : c["offset"] - begin + c["size"]])
+                                good &= hashlib.sha256(part).digest() == c["digest"]
+                                parts.append(part)
+                            except zlib.error:
+                                good = False
                     payload = None if row["sha256"] is None else b"".join(parts)
                     good &= payload is None or hashlib.sha256(payload).hexdigest() == row["sha256"]
                     rows.append({"id": row["id"], "payload": payload, "n_bytes": row["n_bytes"], "sha256": row["sha256"], "verified": good})
@@ -150,7 +165,21 @@ def reconstructed(manifest: DataFrame) -> DataFrame:
             for f in open_.values():
                 f.close()
 
-    return ordered.repartition(F.coalesce("near", F.col("medium").cast("string"))).sortWithinPartitions("near", "medium").mapInArrow(run, "id long, payload binary, n_bytes long, sha256 string, verified boolean")
+    by = ("near", "at", "medium")
+    tasks = -(-(manifest.agg(F.sum("n_bytes")).first()[0] or 1) // PER_TASK)
+    return stored(ordered, "ordered").repartitionByRange(tasks, *by).sortWithinPartitions(*by).mapInArrow(run, "id long, payload binary, n_bytes long, sha256 string, verified boolean")
+
+
+def together(chunks: list[dict]) -> list[list[dict]]:
+    """Consecutive chunks in runs that one read of a pack can fetch: in order, with small gaps, not too long."""
+    out: list[list[dict]] = []
+    for c in chunks:
+        last = out[-1][-1] if out else None
+        if last and c["pack"] == last["pack"] and 0 <= c["offset"] - last["offset"] - last["size"] <= GAP and c["offset"] + c["size"] - out[-1][0]["offset"] <= AT_ONCE:
+            out[-1].append(c)
+        else:
+            out.append([c])
+    return out
 
 
 _OUT = pa.schema([("id", pa.int64()), ("payload", pa.binary()), ("n_bytes", pa.int64()), ("sha256", pa.string()), ("verified", pa.bool_())])

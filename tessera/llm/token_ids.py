@@ -1,13 +1,14 @@
 """Operator 9: token ids in binary shards with a minimal perfect hash index.
 
 Each task tokenises its documents and appends the raw little-endian ids (two bytes each while the vocabulary allows) to a
-shard of its own in the shared folder: payloads are never shuffled. Only their places are: by hash of the document key to index partitions,
+shard of its own in the shared folder, whose first ``HEAD`` bytes tell the width of an id: payloads are never shuffled. Only their places are: by hash of the document key to index partitions,
 each of which builds a minimal perfect hash over its keys, in levels of bit vectors with rank counts (as in
 BBHash; Limasset et al., 2017). The slot of a key gives, in constant time, a stored fingerprint, by which foreign keys
 are turned away, and the shard, offset and length of its ids.
 
 Defined results: a null ``doc_id`` has no key and is left out; a null or empty text is an entry without ids; rows
-that repeat a ``doc_id`` are entries each, which the slot lists one after the other. The tokenizer's file is a parameter and is read where tasks run.
+that repeat a ``doc_id`` are entries each, which the slot lists one after the other. Keys are whole numbers; others are an error of the cast. Texts are
+tokenised whole at any length; other columns are not read; an empty table gives an empty one. The tokenizer's file is a parameter and is read where tasks run.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from tessera.llm._shared import filesystem, fresh_path, stored
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 KEYS_PER_INDEX = 1_000_000
 GAMMA = 2.0
+HEAD = 8
 _FINGER = np.uint64(0xA24BAED4963EE407)
 
 
@@ -138,7 +140,8 @@ def shards(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER) -> DataFram
         shard, rows = TaskContext.get().partitionId(), []
 
         def write(out) -> None:
-            offset = 0
+            out.write(b"ids" + bytes([kind.itemsize]) + bytes(HEAD - 4))
+            offset = HEAD
             for batch in batches:
                 keys = batch.column(0).to_numpy(zero_copy_only=False)
                 counts = []
@@ -196,11 +199,14 @@ def looked_up(keys: DataFrame, folder: str, parts: int) -> DataFrame:
     return asked.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).groupBy("part").applyInArrow(find, "doc_id long, slot long, shard int, byte_offset long, n_tokens long")
 
 
-def ids_at(folder: str, shard: int, byte_offset: int, n_tokens: int, dtype: str = "<u2") -> np.ndarray:
-    """The ids of one entry, by one ranged read."""
+def ids_at(folder: str, shard: int, byte_offset: int, n_tokens: int) -> np.ndarray:
+    """The ids of one entry, by one ranged read, in the width that the shard's head tells."""
     fs, root = filesystem(folder)
     with fs.open_input_file(f"{root}/ids-{shard:06d}.bin") as f:
-        return np.frombuffer(f.read_at(n_tokens * np.dtype(dtype).itemsize, byte_offset), dtype)
+        head = f.read_at(HEAD, 0)
+        if head[:3] != b"ids" or head[3] not in (2, 4):
+            raise ValueError(f"shard {shard} is not a shard of ids")
+        return np.frombuffer(f.read_at(n_tokens * head[3], byte_offset), f"<u{head[3]}")
 
 
 def located(docs: DataFrame, tokenizer: str = TOKENIZER, keys_per_index: int = KEYS_PER_INDEX, folder: str | None = None) -> DataFrame:

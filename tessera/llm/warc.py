@@ -2,13 +2,20 @@
 
 Every record is a gzip member of its own. The writer makes one file per task in the
 shared folder. The reader gets a table of paths and streams each file: blocks of compressed bytes go through
-incremental zlib, a record's header ends at the blank line, its body is framed by Content-Length, and the
-SHA-1 of the body is compared with WARC-Block-Digest as it arrives. Memory is one record, whatever the file's size.
+incremental zlib, a record's header ends at the blank line, its body is framed by Content-Length, and the digest that the
+WARC-Block-Digest names (SHA-1, SHA-256 or MD5, in base 32 or hexadecimal) is computed as the body arrives. Memory is one record, whatever
+the file's size. After damage the reader goes back to one byte behind the damaged member's begin and looks for the next that opens, however
+long that member was.
+
+``read`` gives the pages: ``resource`` records as they are, and the payloads of ``response`` records, behind their HTTP header. ``listed`` gives
+every record of any type, ``request``, ``warcinfo`` and others included.
 
 Defined results: nulls in ``page_id``, ``url`` and ``html`` come back as nulls (a header in JSON carries the columns
-exactly, so that line ends or any other character in a url survive); an empty or null html is a record with an empty body; a digest that
-differs or a body cut short gives ``verified`` false; damaged bytes are skipped up to the next member that opens. Repeated pages
-are records each. Other columns are not written.
+exactly, so that line ends or any other character in a url survive); files of other writers have no such header, so ``page_id`` is null there and the url is
+the target's; an empty or null html is a record with an empty body; a digest that
+differs, a body cut short, a Content-Length that is no number or columns that are no JSON object give ``verified`` false, a record without a digest null. Bytes
+of a page that are not UTF-8 are replaced by U+FFFD; ``sha1`` and ``n_bytes`` are those of the bytes read. Damaged bytes are skipped up to the next member that
+opens. Repeated pages are records each, of any length. Other columns are not written; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,9 +23,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -74,84 +83,145 @@ def written(pages: DataFrame, folder: str, level: int = LEVEL) -> DataFrame:
     return stored(files, "warc-files")
 
 
-def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, bool]]:
-    """(headers, body, whether length and digest are right) of each record in a stream of compressed bytes."""
-    raw, fed, plain, unzip = b"", 0, [], zlib.decompressobj(31)
+class Framer:
+    """One record, from the plain bytes of its member as they arrive."""
+
+    def __init__(self):
+        self.head, self.headers, self.body, self.tail = bytearray(), None, [], b""
+        self.size, self.left, self.sum, self.wanted = -1, 0, None, ""
+
+    def feed(self, data: bytes) -> None:
+        if self.headers is None:
+            seen = max(0, len(self.head) - 3)
+            self.head += data
+            gap = self.head.find(b"\r\n\r\n", seen)
+            if gap < 0:
+                return
+            data = bytes(self.head[gap + 4 :])
+            self._begin(bytes(self.head[:gap]))
+        taken = data if self.size < 0 else data[: self.left]
+        if taken:
+            self.left -= len(taken)
+            self.body.append(taken)
+            if self.sum:
+                self.sum.update(taken)
+        self.tail = (self.tail + data[len(taken) :])[:5]
+
+    def _begin(self, head: bytes) -> None:
+        self.head = bytearray(head[:5])
+        lines = head.decode("utf-8", "replace").split("\r\n")
+        self.headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+        if re.fullmatch("[0-9]{1,18}", self.headers.get("content-length", "")):
+            self.size = self.left = int(self.headers["content-length"])
+        name, _, self.wanted = self.headers.get("warc-block-digest", "").partition(":")
+        name = name.lower().replace("-", "")
+        self.sum = hashlib.new(name) if name in ("sha1", "sha256", "md5") else None
+
+    def record(self, whole: bool) -> Iterator[tuple[dict[str, str], bytes, bool | None]]:
+        """(headers, body, whether length and digest are right: null without a digest), or nothing if no record began."""
+        if self.headers is None or self.head != b"WARC/":
+            return
+        good = whole and self.size >= 0 and self.left == 0 and self.tail == b"\r\n\r\n"
+        if good and "warc-block-digest" in self.headers:
+            good = self.sum is not None and self.wanted.lower().rstrip("=") in (self.sum.hexdigest(), base64.b32encode(self.sum.digest()).decode().lower().rstrip("="))
+        elif good:
+            good = None
+        yield self.headers, b"".join(self.body), good
+
+
+def records(stream: BinaryIO, block: int = BLOCK) -> Iterator[tuple[dict[str, str], bytes, bool | None]]:
+    """(headers, body, verified) of each record in a file of compressed members."""
+    start, ahead, read = 0, b"", 0
     while True:
-        if fed == len(raw):
-            piece = next(chunks, None)
-            if piece is None:
-                break
-            raw += piece
+        unzip, frame, whole = zlib.decompressobj(31), Framer(), True
         try:
-            plain.append(unzip.decompress(raw[fed:]))
-            fed = len(raw)
+            while not unzip.eof:
+                piece = ahead or stream.read(block)
+                if not piece:
+                    break
+                read, ahead = read + len(piece) - len(ahead), b""
+                frame.feed(unzip.decompress(piece, 1 << 20))
+                while unzip.unconsumed_tail and not unzip.eof:
+                    frame.feed(unzip.decompress(unzip.unconsumed_tail, 1 << 20))
         except zlib.error:
-            if plain and any(plain):
-                yield from _record(b"".join(plain), False)
-            at = raw.find(_MAGIC, 1)
-            while at < 0:
-                piece = next(chunks, None)
-                if piece is None:
-                    return
-                raw = raw[-2:] + piece
-                at = raw.find(_MAGIC)
-            raw, fed, plain, unzip = raw[at:], 0, [], zlib.decompressobj(31)
+            whole = False
+        if whole and unzip.eof:
+            yield from frame.record(True)
+            ahead = unzip.unused_data
+            start = read - len(ahead)
             continue
-        if unzip.eof:
-            yield from _record(b"".join(plain), True)
-            raw, fed, plain = unzip.unused_data, 0, []
-            unzip = zlib.decompressobj(31)
-        elif len(raw) > 1 << 24:
-            raw, fed = raw[-3:], 3
-    if plain and any(plain):
-        yield from _record(b"".join(plain), False)
-
-
-def _record(data: bytes, whole: bool) -> Iterator[tuple[dict[str, str], bytes, bool]]:
-    head, gap, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    if not gap or not lines[0].startswith("WARC/"):
-        return
-    headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-    length = headers.get("content-length", "")
-    size = int(length) if length.isdigit() else -1
-    body = rest[:size] if size >= 0 else rest
-    framed = whole and size >= 0 and len(body) == size and rest[size:] == b"\r\n\r\n"
-    yield headers, body, framed and headers.get("warc-block-digest") == digest(body)
-
-
-def read(spark: SparkSession, paths: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The resource records of the files in ``paths`` (path string), one file per task."""
-    files = paths.count()
+        if whole and start == read:
+            return
+        yield from frame.record(False)
+        start = _next_member(stream, start + 1, block)
+        if start < 0:
+            return
+        stream.seek(start)
+        ahead, read = b"", start
+
+
+def _next_member(stream: BinaryIO, at: int, block: int) -> int:
+    """Where the next gzip member seems to begin, from ``at`` on; -1 for nowhere."""
+    stream.seek(at)
+    held = b""
+    while piece := stream.read(max(block, 64)):
+        held += piece
+        found = held.find(_MAGIC)
+        if found >= 0:
+            return at + found
+        at, held = at + max(0, len(held) - 2), held[-2:]
+    return -1
+
+
+def _of_files(paths: DataFrame, row, block: int, schema: str, names: list[str], kinds: tuple) -> DataFrame:
+    """``row`` of (path, headers, body, verified), where it isn't null, for every record; one file per task."""
 
     def run(batches):
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 fs, name = filesystem(path)
-                with fs.open_input_stream(name, compression=None) as stream:
+                with fs.open_input_file(name) as stream:
                     rows, held = [], 0
-                    for headers, body, good in records(iter(lambda: stream.read(block) or None, None)):
-                        if headers.get("warc-type") != "resource":
-                            continue
-                        try:
-                            columns = json.loads(headers.get("x-columns", "{}"))
-                        except ValueError:
-                            columns, good = {}, False
-                        rows.append((columns.get("page_id"), columns.get("url", headers.get("warc-target-uri")), None if columns.get("null") else body.decode("utf-8", "replace"), len(body), hashlib.sha1(body).hexdigest(), good))
-                        held += len(body)
-                        if held > 1 << 22:
-                            yield _batch(rows)
+                    for headers, body, good in records(stream, block):
+                        if (made := row(path, headers, body, good)) is not None:
+                            rows.append(made)
+                            held += len(body)
+                        if held > 1 << 22 or len(rows) >= 4096:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
                             rows, held = [], 0
                     if rows:
-                        yield _batch(rows)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    return paths.select("path").repartition(max(1, paths.count()), "path").mapInArrow(run, schema)
 
-    return paths.select("path").repartition(max(1, files), "path").mapInArrow(run, SCHEMA)
+
+def _page(path: str, headers: dict[str, str], body: bytes, good: bool | None) -> tuple | None:
+    kind = headers.get("warc-type")
+    if kind not in ("resource", "response"):
+        return None
+    if kind == "response" and body.startswith(b"HTTP/"):
+        body = body.partition(b"\r\n\r\n")[2]
+    try:
+        columns = json.loads(headers.get("x-columns", "{}"))
+    except ValueError:
+        columns = None
+    page_id = columns.get("page_id") if isinstance(columns, dict) else None
+    if not isinstance(columns, dict) or not (page_id is None or type(page_id) is int and -(1 << 63) <= page_id < 1 << 63) or not isinstance(columns.get("url"), str | None):
+        columns, page_id, good = {}, None, False
+    url = columns["url"] if "url" in columns else headers.get("warc-target-uri")
+    return page_id, url, None if columns.get("null") else body.decode("utf-8", "replace"), len(body), hashlib.sha1(body).hexdigest(), good
+
+
+def read(spark: SparkSession, paths: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The pages in the files of ``paths`` (path string)."""
+    names = ["page_id", "url", "html", "n_bytes", "sha1", "verified"]
+    return _of_files(paths, _page, block, SCHEMA, names, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_()))
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["page_id", "url", "html", "n_bytes", "sha1", "verified"])
+def listed(spark: SparkSession, paths: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(path, type, uri, n_bytes, verified) of every record in the files of ``paths`` (path string)."""
+    row = lambda path, headers, body, good: (path, headers.get("warc-type"), headers.get("warc-target-uri"), len(body), good)
+    return _of_files(paths, row, block, "path string, type string, uri string, n_bytes long, verified boolean", ["path", "type", "uri", "n_bytes", "verified"], (pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_()))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

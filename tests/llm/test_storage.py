@@ -2,11 +2,14 @@
 
 import base64
 import hashlib
+import io
+import json
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import _bpe, _shared, media_chunks, token_ids, warc
 
@@ -29,6 +32,28 @@ def test_media_round_trip(spark):
     assert store.count() < manifest.selectExpr("explode(chunks)").count()
 
 
+def test_media_columns_by_name_and_large_payloads(spark):
+    large = random.Random(5).randbytes(3_500_000)
+    rows = [("kind", large, i, b"__") for i in range(3)] + [("kind", large[:40_000] + b"%d" % i, 10 + i, b"__") for i in range(20)]
+    df = spark.createDataFrame(rows, "kind string, payload binary, id long, digest binary").repartition(2)
+    got = {r.id: bytes(r.payload) for r in media_chunks.round_trip(df).collect() if r.verified}
+    assert got == {i: data for _, data, i, _ in rows}
+
+
+def test_neighbouring_chunks_are_read_together():
+    at = lambda pack, offset, size: {"pack": pack, "offset": offset, "size": size}
+    chunks = [at("a", 0, 10), at("a", 10, 5), at("a", 20, 5), at("a", 5, 5), at("b", 10, 1), at("b", 10 + (1 << 22), 9)]
+    assert [len(x) for x in media_chunks.together(chunks)] == [3, 1, 1, 1] and media_chunks.together([]) == []
+
+
+def test_media_that_share_a_first_chunk_are_spread(spark):
+    shared = random.Random(8).randbytes(60_000)
+    df = spark.createDataFrame([(i, shared + b"%d" % i) for i in range(2000)], "id long, payload binary").repartition(4)
+    out = media_chunks.round_trip(df, least=4096, most=16384)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) < 1500
+
+
 def test_damaged_chunk_is_not_verified(spark):
     folder = _shared.fresh_path(spark, "packs")
     manifest = media_chunks.chunked(spark.createDataFrame([(1, b"q" * 5000)], "id long, payload binary").coalesce(1), folder)
@@ -77,13 +102,46 @@ def test_warc_reader_survives_damage():
     wrong = pack.compress(text) + pack.flush()
     stream = good[0] + bytes(broken) + good[2] + b"noise" + wrong + good[3] + good[0][:-20]
     for size in (1, 7, 1000, len(stream)):
-        found = [(b, ok) for _, b, ok in warc.records(iter([stream[i : i + size] for i in range(0, len(stream), size)]))]
+        found = [(b, ok) for _, b, ok in warc.records(io.BytesIO(stream), size)]
         sound = [b for b, ok in found if ok]
         assert sound == [b"body0" * 50, b"body2" * 50, b"body3" * 50]
         assert (b"abd", False) in found
     assert warc.digest(b"x") == "sha1:" + base64.b32encode(hashlib.sha1(b"x").digest()).decode()
 
 
+def packed(head: list[str], body: bytes) -> bytes:
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return pack.compress("\r\n".join(["WARC/1.0", *head]).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + pack.flush()
+
+
+def test_warc_files_of_other_writers(spark, tmp_path):
+    page, http = "<p>\u00fc</p>".encode(), b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    sized = lambda b: f"Content-Length: {len(b)}"
+    digest = "WARC-Block-Digest: sha256:" + hashlib.sha256(http + page).hexdigest()
+    members = [
+        packed(["WARC-Type: warcinfo", sized(b"software: x")], b"software: x"),
+        packed(["WARC-Type: request", "WARC-Target-URI: http://a/", sized(b"GET / HTTP/1.1\r\n\r\n")], b"GET / HTTP/1.1\r\n\r\n"),
+        packed(["WARC-Type: response", "WARC-Target-URI: http://a/", digest, sized(http + page)], http + page),
+        packed(["WARC-Type: response", "WARC-Target-URI: http://b/", "WARC-Block-Digest: " + warc.digest(b"other"), sized(http)], http),
+        packed(["WARC-Type: resource", "Content-Length: \u00b2"], b"ab"), packed(["WARC-Type: resource", sized(b"cd"), "X-Columns: [1]"], b"cd"),
+        packed(["WARC-Type: resource", sized(b"ef"), "X-Columns: " + json.dumps({"page_id": "x", "url": 3})], b"ef"), packed(["WARC-Type: resource", "WARC-Target-URI: u", sized(b"\xff")], b"\xff"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(members))
+    paths = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", 1)], "path string, sha1 int")
+    got = [(r.page_id, r.url, r.html, r.verified) for r in warc.read(spark, paths).collect()]
+    assert got == [(None, "http://a/", "<p>\u00fc</p>", True), (None, "http://b/", "", False), (None, None, "ab\r\n\r\n", False), (None, None, "cd", False), (None, None, "ef", False), (None, "u", "\ufffd", None)]
+    assert [r.type for r in warc.listed(spark, paths).collect()] == ["warcinfo", "request", "response", "response", *["resource"] * 4]
+
+
+def test_warc_recovers_behind_a_large_damaged_member():
+    large = bytearray(warc.member("resource", "big", random.Random(3).randbytes(20 << 20), {"page_id": 0}, 0))
+    large[-5000] ^= 255
+    inside = warc.member("resource", "in", b"inner", {"page_id": 1})
+    large[1000 : 1000 + len(inside)] = inside
+    found = [(h["warc-target-uri"], ok) for h, _, ok in warc.records(io.BytesIO(bytes(large) + warc.member("resource", "u", b"behind", {"page_id": 2})))]
+    assert [uri for uri, ok in found if ok] == ["in", "u"]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 50_000])
 def test_perfect_hash_is_minimal(n):
     keys = np.arange(n, dtype=np.int64) * 7919 - 5
