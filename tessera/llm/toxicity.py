@@ -7,7 +7,7 @@ jointly in numpy, in one task (Adam). As n-grams are shared, a
 misspelling never seen in training lands near the word it distorts.
 
 A label speaks of a whole document, the words at fault are few. Training therefore
-starts with whole documents as bags, all of the sample in batches of ``BATCH``, and goes on, in a few rounds, with the ``window``
+starts with whole documents as bags, all of the sample in batches of about ``BATCH`` words, and goes on, in a few rounds, with the ``window``
 words of each document that the model so far finds most toxic. A document is scored by the
 highest of all its windows, at whatever length. The decision threshold is
 set on labelled documents held out of training, where F1 is best; within the gap between the scores there, a quarter
@@ -40,7 +40,8 @@ BUCKETS = 1 << 17
 DIMENSIONS = 8
 WINDOW = 5
 ROUNDS = 4
-BATCH = 600
+BATCH = 1 << 17
+AT_ONCE = 1 << 19
 DECAY = 0.1
 
 
@@ -91,6 +92,44 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, first[:-1], axis=0) if len(first) > 1 else values[:0]
 
 
+class Entries:
+    """The vocabulary of texts read slice by slice: each word's entry, the subwords of each entry, the first word of each text."""
+
+    def __init__(self, column: pa.Array, buckets: int):
+        known, number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        entry, rows, found, count, total = [], [0], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+        for s in words.slices(column):
+            x = words.scan(s)
+            hashes, sample, local = np.unique(x.hash, return_index=True, return_inverse=True)
+            fresh = np.flatnonzero(~np.isin(hashes, known))
+            for at in range(0, len(fresh), 1 << 15):
+                some = sample[fresh[at : at + (1 << 15)]]
+                bucket, first = subwords(s.data, x.begin[some], x.end[some], buckets)
+                found.append(bucket)
+                count.append(np.diff(first))
+            number = np.r_[number, np.arange(len(known), len(known) + len(fresh), dtype=np.int32)]
+            known = np.r_[known, hashes[fresh]]
+            order = np.argsort(known)
+            entry.append(number[order[np.searchsorted(known, hashes, sorter=order)]][local].astype(np.int32))
+            rows.extend((x.of_row[1:] + total).tolist())
+            total += len(x.hash)
+        self.entry = np.concatenate(entry) if entry else np.zeros(0, np.int32)
+        self.of_row, self.subword, self.count = np.array(rows, np.int64), np.concatenate(found), np.concatenate(count)
+        self.first = np.r_[0, np.cumsum(self.count)]
+
+    def windows(self, share: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """``best_windows`` of all texts under the buckets' ``share``, some texts at a time."""
+        word, best, place, at = _sums(share[self.subword], self.first), [], [], 0
+        while at < len(self.of_row) - 1:
+            end = max(at + 1, int(np.searchsorted(self.of_row, self.of_row[at] + AT_ONCE, side="right")) - 1)
+            entry = self.entry[self.of_row[at] : self.of_row[end]]
+            b, p = best_windows(word[entry], self.count[entry], self.of_row[at : end + 1] - self.of_row[at], window)
+            best.append(b)
+            place.append(np.where(p >= 0, p + self.of_row[at], -1))
+            at = end
+        return np.concatenate(best), np.concatenate(place)
+
+
 def best_windows(score: np.ndarray, count: np.ndarray, of_row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each row, the highest mean over ``window`` consecutive words, and the first of those words (-1: no word)."""
     n = len(score)
@@ -144,24 +183,15 @@ def _fit(bags: list[np.ndarray], label: np.ndarray, subword: np.ndarray, first:
     state["E"][used] = e
 
 
-def train(texts: list[str], label: np.ndarray, buckets: int = BUCKETS, window: int = WINDOW, rounds: int = ROUNDS, dimensions: int = DIMENSIONS) -> Model:
+def train(texts, label: np.ndarray, buckets: int = BUCKETS, window: int = WINDOW, rounds: int = ROUNDS, dimensions: int = DIMENSIONS) -> Model:
     """A model from labelled texts (1: toxic); a fifth of the toxic ones and the surplus of clean ones set the threshold."""
     nothing = Model(np.zeros(buckets, np.float32), -np.inf, np.inf)
     if not len(texts) or label.min() == label.max():
         return nothing
-    column = pa.array(texts, pa.large_string())
-    parts, at, number = [], 0, 0
-    for piece in words.slices(column):
-        x = words.scan(piece)
-        parts.append((x.begin + at, x.end + at, x.hash, x.of_row[:-1] + number))
-        at, number = at + len(piece.data), number + len(x.hash)
-    begin, end, hashes, rows = map(np.concatenate, zip(*parts))
-    x, s = words.Words(begin, end, hashes, np.r_[rows, number]), next(words.slices(column, 1 << 62))
-    if len(x.hash) == 0:
+    x = Entries(texts if isinstance(texts, pa.Array | pa.ChunkedArray) else pa.array(texts, pa.large_string()), buckets)
+    if len(x.entry) == 0:
         return nothing
-    entry, subword, first = vocabulary(s, x, buckets)
-    none = np.zeros(0, np.int64)
-    x, s, begin, end, hashes, parts, column = words.Words(none, none, none, x.of_row), None, None, None, None, None, None
+    entry, subword, first = x.entry, x.subword, x.first
     toxic, clean = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     held = len(toxic) // 5
     fit_rows = np.r_[toxic[held:], clean[len(clean) // 2 :]]
@@ -169,26 +199,24 @@ def train(texts: list[str], label: np.ndarray, buckets: int = BUCKETS, window: i
     rng = np.random.default_rng(7)
     state = {"E": rng.uniform(-1 / dimensions, 1 / dimensions, (buckets, dimensions)).astype(np.float32), "W": np.zeros((dimensions, 2)), "b": np.zeros(2)}
     state["W"][:, 1], state["W"][:, 0] = 0.1, -0.1
-    count = np.diff(first)
 
     def share() -> np.ndarray:
         return state["E"] @ (state["W"][:, 1] - state["W"][:, 0])
 
     bag = lambda row, at, n: entry[at : min(at + n, x.of_row[row + 1])]
     mixed = fit_rows[np.argsort(words.mix(fit_rows.astype(np.uint64)), kind="stable")]
-    for some in np.array_split(mixed, -(-len(mixed) // BATCH)) if len(mixed) else ():
+    upto = np.cumsum(np.diff(x.of_row)[mixed]) // BATCH
+    for some in np.split(mixed, np.flatnonzero(np.diff(upto)) + 1) if len(mixed) else ():
         _fit([bag(r, x.of_row[r], 1 << 62) for r in some], label[some], subword, first, state, 8, 0.05)
     quiet, hard = fit_rows[label[fit_rows] == 0], []
     loud = fit_rows[label[fit_rows] == 1]
     for _ in range(rounds):
-        word = _sums(share()[subword], first)[entry]
-        _, place = best_windows(word, count[entry], x.of_row, window)
+        _, place = x.windows(share(), window)
         other = x.of_row[:-1] + (rng.random(len(texts)) * np.maximum(1, np.diff(x.of_row) - window)).astype(np.int64)
         hard += [bag(r, place[r], window) for r in quiet] + [bag(r, other[r], window) for r in quiet]
         bags = [bag(r, place[r], window) for r in loud] + hard
         _fit(bags, np.r_[np.ones(len(loud), np.int64), np.zeros(len(hard), np.int64)], subword, first, state, 40, 0.05)
-    word = _sums(share()[subword], first)[entry]
-    best, _ = best_windows(word, count[entry], x.of_row, window)
+    best, _ = x.windows(share(), window)
     rows = np.r_[toxic[:held], clean[: len(clean) // 2]] if held else np.arange(len(texts))
     score, truth = best[rows], label[rows]
     cost = np.where(truth == 1, 1.0, 9.0 * max(1, (truth == 1).sum()) / max(1, (truth == 0).sum()))
@@ -221,7 +249,7 @@ def labelled_model(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_R
     def fit(table: pa.Table) -> pa.Table:
         ids = table["doc_id"].to_numpy().astype(np.int64)
         order = np.lexsort((ids, words.mix(ids.view(np.uint64))))
-        model = train(table["text"].take(pa.array(order)).to_pylist(), table["toxic"].to_numpy()[order].astype(np.int64), window=window)
+        model = train(table["text"].take(pa.array(order)), table["toxic"].to_numpy()[order].astype(np.int64), window=window)
         return pa.table({"weight": pa.array([model.weight.tobytes()], pa.binary()), "bias": [model.bias], "threshold": [model.threshold]})
 
     found = rows.select(F.col("doc_id").cast("long"), "toxic", "text", F.lit(0).alias("all")).groupBy("all").applyInArrow(fit, "weight binary, bias double, threshold double").collect()
