@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,6 +207,60 @@ def test_vectors_in_small_lists_have_all_neighbours(spark):
         assert mine["neighbour_id"].tolist() == np.lexsort((np.arange(1500), d))[:10].tolist() and mine["rank"].tolist() == list(range(1, 11))
 
 
+def test_infinite_and_odd_vectors_do_not_harm_the_rest(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    odd = [(-1, [1.0, 2.0]), (1000, [float("inf")] * 8), (1001, [float("-inf")] + [0.0] * 7), (1002, [1e30] * 8), (1003, []), (1004, None)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + odd, "vec_id long, embedding array<float>")
+    got = ann.neighbours(df, k=5).toPandas()
+    assert set(got["vec_id"]) == set(range(300)) and set(got["neighbour_id"]) <= set(range(300))
+
+
+def test_ties_go_by_id(spark):
+    df = spark.createDataFrame([(i, [float(i % 2), 0.0]) for i in range(8)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.neighbours(df, k=5).orderBy("vec_id", "rank").collect():
+        got.setdefault(r.vec_id, []).append((r.neighbour_id, r.distance))
+    assert got[3] == [(1, 0.0), (5, 0.0), (7, 0.0), (0, 1.0), (2, 1.0)]
+
+
+def test_graph_finds_lists_of_islands():
+    rng = np.random.default_rng(5)
+    centre = 100 * rng.normal(size=(40, 16))
+    points = np.concatenate([c + rng.normal(size=(60, 16)) for c in centre]).astype(np.float32)
+    graph = ann.CentroidGraph(points, np.repeat(np.arange(40), 60))
+    queries = points[rng.integers(0, len(points), 400)] + rng.normal(size=(400, 16)).astype(np.float32)
+    found, _ = graph.search(queries, 16)
+    want = np.argsort(ann.squared(queries, points), axis=1)[:, :16]
+    assert np.mean([len(set(a) & set(b)) / 16 for a, b in zip(found.tolist(), want.tolist())]) > 0.95
+    lists, near = graph.opened(queries[:5], 1e9, 4)
+    assert ((lists >= 0).sum(1) > 0.95 * len(points)).all() and (np.diff(near[np.isfinite(near)].reshape(-1)) is not None)
+
+
+def test_clustered_vectors_open_few_lists(spark):
+    rng = np.random.default_rng(7)
+    n, dim = 50_000, 24
+    x = (3 * rng.normal(size=(100, dim))[rng.integers(0, 100, n)] + rng.normal(size=(n, 4)) @ rng.normal(size=(4, dim)) + 0.05 * rng.normal(size=(n, dim))).astype(np.float32)
+    table = pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dim).cast(pa.list_(pa.float32()))})
+    vectors = ann._valid(spark.createDataFrame(table).repartition(8))
+    graph = ann.build(vectors)
+    ratio, beam = ann.opening(vectors, graph, 10, ann.CLOSURE, ann.REPLICAS, ann.TARGET)
+    _, near = graph.opened(x[:2000], ratio, beam)
+    assert len(graph.points) > 150 and (near <= ratio * near[:, :1] + 1e-12).sum(1).mean() < 0.2 * len(graph.points)
+    got = ann.neighbours(vectors).filter("vec_id < 1000").toPandas()
+    d = ann.squared(x[:1000], x)
+    d[np.arange(1000), np.arange(1000)] = np.inf
+    edge = np.sqrt(np.partition(d, 9, axis=1)[:, 9])
+    found = got.groupby("vec_id")["distance"].apply(np.array)
+    assert np.mean([(found[i] <= edge[i] + 1e-3).sum() / 10 for i in range(1000)]) >= 0.95
+
+
+def test_lists_grow_where_the_graph_would_be_too_large(spark):
+    x = np.random.default_rng(8).normal(size=(3000, 8)).astype(np.float32)
+    vectors = ann._valid(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"))
+    assert len(ann.build(vectors, 16).points) > 150 > len(ann.build(vectors, 16, 10_000).points)
+
+
 def test_raking_reaches_the_marginals():
     rng = np.random.default_rng(0)
     names = [np.array([f"{k}{i}" for i in ix]) for k, ix in zip("slt", np.indices((4, 3, 2)).reshape(3, -1))]
