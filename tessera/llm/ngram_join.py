@@ -48,6 +48,7 @@ N = 3
 THRESHOLD = 0.55
 BLOCK = 1024
 COUNTERS = 1 << 20
+FILTER_BITS = 1 << 23
 _EPS = 1e-9
 _POSTINGS = 1 << 17
 _MOST_AT, _MOST_N = (1 << 16) - 1, (1 << 24) - 1
@@ -228,6 +229,20 @@ def meeting_groups(token: np.ndarray, home: np.ndarray, n: np.ndarray, tail: np.
         at = end
 
 
+def only_of(texts: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """``texts`` without most rows whose ``doc_id`` isn't in ``wanted``, before they are shuffled to a join with it.
+
+    A bit table of fixed size, made by an aggregation of ``wanted``; where that is large the table fills up and lets all rows pass.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    parts = wanted.select(spot("doc_id").alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("value")).toPandas()
+    table = np.zeros(bits // 64, np.int64)
+    table[parts["word"].to_numpy(np.int64)] = parts["value"].to_numpy(np.int64)
+    row = texts.sparkSession.createDataFrame(pa.table({"bits": pa.array([table], pa.list_(pa.int64()))}))
+    marked = texts.withColumn("spot", spot("doc_id")).crossJoin(F.broadcast(row))
+    return marked.filter("(shiftright(element_at(bits, cast(shiftright(spot, 6) as int) + 1), cast(spot & 63 as int)) & 1) = 1").select(*texts.columns)
+
+
 def _group_pairs(texts: DataFrame, n: int, threshold: float, levels) -> DataFrame:
     def run(batches):
         parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
@@ -329,7 +344,7 @@ def _near(docs: DataFrame, n: int, threshold: float, block: int, forest: bool) -
     texts = _texts(docs)
     levels = docs.sparkSession.sparkContext.broadcast(word_levels(texts))
     profiles = stored(_profiles(texts, n, levels), "profiles")
-    sets = profiles.groupBy("set_hash", "n", "home").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"))
+    sets = stored(profiles.groupBy("set_hash", "n", "home").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies")), "sets")
     copies = profiles.join(sets, ["set_hash", "n", "home"]).filter("doc_id <> rep").select(F.col("rep").alias("id_a"), F.col("doc_id").alias("id_b"), F.lit(1.0).alias("jaccard")).distinct()
     pairs = stored(_group_pairs(texts, n, threshold, levels), "pairs")
     blocks = sets.groupBy("home").agg(F.count("*").alias("sets"))
@@ -357,7 +372,7 @@ def _near(docs: DataFrame, n: int, threshold: float, block: int, forest: bool) -
         "doc_id", "host", "host_block", "guest", F.explode(F.when(F.col("guest"), F.array(F.pmod(F.xxhash64("doc_id"), F.col("last") + 1).cast("int"))).otherwise(own)).alias("guest_block")
     )
     visit = F.struct("host", "host_block", "guest", "guest_block")
-    to = seated.groupBy("doc_id").agg(F.collect_list(visit).alias("visits")).join(texts, "doc_id").select("doc_id", "texts", F.explode("visits").alias("to")).select("doc_id", "texts", "to.*")
+    to = seated.groupBy("doc_id").agg(F.collect_list(visit).alias("visits")).join(only_of(texts, seats), "doc_id").select("doc_id", "texts", F.explode("visits").alias("to")).select("doc_id", "texts", "to.*")
 
     def group(table: pa.Table) -> pa.Table:
         first_block = table["guest_block"][0].as_py() == 0

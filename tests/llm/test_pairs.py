@@ -102,6 +102,14 @@ def test_a_hot_group_is_opened_in_bounded_blocks(spark, forest, tmp_path):
     assert forest or len(pairs) == 60 * 59 // 2
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 12])
+def test_filter_keeps_all_wanted_rows(spark, bits):
+    texts, wanted = spark.range(-500, 500).selectExpr("id doc_id", "array('x') texts"), spark.range(-20, 20, 3).withColumnRenamed("id", "doc_id")
+    left = nj.only_of(texts, wanted, bits)
+    assert left.columns == texts.columns and left.join(wanted, "doc_id").count() == wanted.count()
+    assert left.count() <= (1000 if bits == 64 else 100)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert nj.similar_pairs(df).count() == 0 and nj.keep_one(df).count() == 0
