@@ -6,23 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.sources import generated, star
+from tessera.sources import generated, star, store
 from tessera.workloads import core, filings, shapes
+from tessera.workloads import files as files_
 
 
 def _tables(spark: SparkSession, sf_dir: str, names: set[str]) -> dict[str, DataFrame]:
     """The tables of a shape: stored ones, generated ones, and the flattened star."""
     if "lineorder_flat" in names:
         stored = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in core.NAMES}
-        return {"lineorder_flat": star.flat(stored)}
-    return {n: generated.table(spark, n) if n in generated.TABLES else spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
+        return {"lineorder_flat": store.kept(spark, f"{sf_dir}/lineorder_flat", lambda: star.flat(stored), by=("lo_orderdate",))}
+    return {n: generated.stored(spark, n) if n in generated.TABLES else spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = {name: (lambda spark, d, s=shape: s.dataframe(_tables(spark, d, set(s.tables.values())))) for name, shape in shapes.all_shapes().items()}
-    return core.queries() | made | filings.queries()
+    return core.queries() | made | filings.queries() | files_.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     sources = {n: generated.sql(n) for n in generated.TABLES} | {"lineorder_flat": star.FLAT_SQL}
-    return core.oracle_sql() | {name: shape.sql(sources) for name, shape in shapes.all_shapes().items()} | filings.oracle_sql()
+    return core.oracle_sql() | {name: shape.sql(sources) for name, shape in shapes.all_shapes().items()} | filings.oracle_sql() | files_.oracle_sql()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def int_div(a: Column, b: Column) -> Column:
     """Integer quotient, cut towards zero; NULL when the divisor is 0."""
-    return F.when(b != 0, (a - a % b) / b).cast("long")
+    return F.call_function("div", a, F.nullif(b.cast("long"), F.lit(0).cast("long")))
 
 
 def avg_floor(c: Column) -> Column:

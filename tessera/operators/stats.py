@@ -21,12 +21,14 @@ def bundle_sql(table: str, columns: tuple[str, ...]) -> str:
 
 
 def distinct_counts(df: DataFrame, columns: tuple[str, ...], error: float = 0.02, exact_below: int = 4096) -> DataFrame:
-    """(column_name, distinct_count): exact where a column has at most ``exact_below`` values, else estimated."""
-    aggs = [a for c in columns for a in (F.approx_count_distinct(c, error).alias(f"{c}_near"), F.size(F.collect_set(F.when(F.pmod(F.xxhash64(c), F.lit(64)) == 0, F.col(c)))).alias(f"{c}_part"))]
-    near = df.agg(*(a for a in aggs[::2])).first()
-    exact = [c for c in columns if near[f"{c}_near"] <= exact_below]
-    out = df.agg(*(F.count_distinct(c).alias(c) for c in exact)).first().asDict() if exact else {}
-    return df.sparkSession.createDataFrame([(c, int(out.get(c, near[f"{c}_near"]))) for c in columns], "column_name string, distinct_count long")
+    """(column_name, distinct_count): exact where a column has about ``exact_below`` values at most, else estimated.
+
+    A pass of sketches tells which columns are small enough to be counted exactly in a second one.
+    """
+    near = df.agg(*(F.approx_count_distinct(c, error).alias(c) for c in columns)).first()
+    small = [c for c in columns if near[c] <= exact_below]
+    out = df.agg(*(F.count_distinct(c).alias(c) for c in small)).first().asDict() if small else {}
+    return df.sparkSession.createDataFrame([(c, int(out.get(c, near[c]))) for c in columns], "column_name string, distinct_count long")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 64) -> DataFrame:

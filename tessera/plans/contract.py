@@ -6,6 +6,8 @@ Statements that define or change data, and the constructs switched off, raise ``
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.errors import ParseException
 from pyspark.sql import SparkSession
 
@@ -28,11 +30,16 @@ _FLAG_OF_EXPRESSION = {
     "Like": "pattern_match", "ILike": "pattern_match",
 }
 _NEVER = {"RLike": "regular expressions", "UnresolvedGenerator": "generators", "Explode": "generators", "ScriptInputOutputSchema": "scripts"}
-_NEVER_NAMES = {
-    **dict.fromkeys(("explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple"), "generators"),
-    **dict.fromkeys(("reflect", "java_method", "try_reflect"), "calls into the virtual machine"),
-}
-_REGEX_NAMES = {"regexp", "regexp_like", "rlike", "regexp_extract", "regexp_replace"}
+#: Functions a query may call.
+FUNCTIONS = frozenset(
+    "sum count avg mean min max approx_count_distinct count_if any_value stddev variance abs ceil ceiling floor round bround mod div sign sqrt power pow exp ln log10 greatest least lower upper lcase ucase length char_length"
+    " octet_length substring substr left right between trim ltrim rtrim lpad rpad concat replace reverse position instr startswith endswith contains like ilike coalesce nullif ifnull nvl nvl2 if isnull isnotnull"
+    " year month day dayofmonth dayofyear weekofyear quarter hour minute second date_trunc trunc date_add date_sub datediff date_format to_date to_timestamp extract date_part"
+    " row_number rank dense_rank percent_rank cume_dist ntile lag lead first_value last_value nth_value first last grouping grouping_id cast int bigint double decimal string date boolean float"
+    .split()
+)
+TABLE_FUNCTIONS = frozenset({"range"})
+_REGEX_NAMES = {"regexp", "regexp_like", "rlike", "regexp_extract", "regexp_extract_all", "regexp_replace", "regexp_count", "regexp_instr", "regexp_substr", "split"}
 
 
 class ContractError(ValueError):
@@ -49,8 +56,11 @@ class Contract:
         self.flags = {f: flags.get(f, True) for f in FLAGS}
         self.theta_joins, self.regex = theta_joins, regex
 
-    def check(self, spark: SparkSession, text: str) -> None:
-        """Raises ContractError unless the text is one query within the contract."""
+    def check(self, spark: SparkSession, text: str, tables: Iterable[str] | None = None) -> None:
+        """Raises ContractError unless the text is one query within the contract.
+
+        It may read ``tables`` and its own common table expressions; where ``tables`` isn't given, any plain name, but no file or other catalog.
+        """
         if not text or not text.strip():
             raise ContractError("empty query")
         try:
@@ -59,13 +69,13 @@ class Contract:
             raise ContractError(f"not parsed: {str(e).splitlines()[0]}") from e
         except Exception as e:
             raise ContractError(f"not parsed: {e}") from e
-        self._node(plan)
+        self._node(plan, None if tables is None else frozenset(t.lower() for t in tables))
 
     def _need(self, flag: str, what: str) -> None:
         if not self.flags[flag]:
             raise ContractError(f"{what} is off ({flag})")
 
-    def _node(self, plan) -> None:
+    def _node(self, plan, names: frozenset[str] | None) -> None:
         name = plan.getClass().getSimpleName()
         if name == "Join":
             self._join(plan)
@@ -77,12 +87,19 @@ class Contract:
             if plan.allowRecursion():
                 self._need("recursive_ctes", "WITH RECURSIVE")
             relations = plan.cteRelations()
+            names = None if names is None else names | {relations.apply(i)._1().lower() for i in range(relations.size())}
             for i in range(relations.size()):
-                self._node(relations.apply(i)._2())
+                self._node(relations.apply(i)._2(), names)
+        if name == "UnresolvedRelation":
+            called = self._items(plan.multipartIdentifier())
+            if len(called) != 1 or names is not None and called[0].lower() not in names:
+                raise ContractError(f"{'.'.join(called)} is not a table of the engine")
+        if name == "UnresolvedTableValuedFunction" and ".".join(self._items(plan.name())).lower() not in TABLE_FUNCTIONS:
+            raise ContractError("table functions other than range are not admitted")
         for part in self._items(plan.expressions()):
-            self._expression(part)
+            self._expression(part, names)
         for child in self._items(plan.children()):
-            self._node(child)
+            self._node(child, names)
 
     def _join(self, plan) -> None:
         kind = plan.joinType().toString()
@@ -104,24 +121,24 @@ class Contract:
         elif name not in ("EqualTo", "EqualNullSafe") or any(c.getClass().getSimpleName() != "UnresolvedAttribute" for c in self._items(condition.children())):
             raise ContractError("a join condition must be equalities of columns")
 
-    def _expression(self, part) -> None:
+    def _expression(self, part, names: frozenset[str] | None) -> None:
         name = part.getClass().getSimpleName()
         if name in _NEVER and not (self.regex and name == "RLike"):
             raise ContractError(f"{_NEVER[name]} are not admitted")
         if name == "UnresolvedFunction":
             called = part.nameParts().mkString(".").lower()
-            if called in _NEVER_NAMES:
-                raise ContractError(f"{_NEVER_NAMES[called]} are not admitted")
             if called in _REGEX_NAMES and not self.regex:
                 raise ContractError("regular expressions are not admitted")
+            if called not in FUNCTIONS and called not in _REGEX_NAMES:
+                raise ContractError(f"the function {called} is not admitted")
         if name in _FLAG_OF_EXPRESSION:
             self._need(_FLAG_OF_EXPRESSION[name], name)
         if hasattr(part, "plan") and name in ("ScalarSubquery", "Exists", "ListQuery"):
-            self._node(part.plan())
+            self._node(part.plan(), names)
         for child in self._items(part.children()):
-            self._expression(child)
+            self._expression(child, names)
         if name == "InSubquery":
-            self._expression(part.query())
+            self._expression(part.query(), names)
 
     @staticmethod
     def _items(seq):

@@ -5,11 +5,14 @@ Predicates, keys and aggregates are SQL expressions that mean the same in Spark
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_AGGREGATE = re.compile(r"\b(sum|count|avg|min|max)\s*\(", re.IGNORECASE)
+
 
 @dataclass(frozen=True)
 class Shape:
@@ -34,7 +37,7 @@ class Shape:
         for predicate in self.where:
             df = df.filter(F.expr(predicate))
         columns = [F.expr(e).alias(a) for a, e in self.select.items()]
-        if self.keys or all("(" in e for e in self.select.values()):
+        if self.keys or all(_AGGREGATE.search(e) for e in self.select.values()):
             grouped = [F.expr(self.select[k]).alias(k) for k in self.keys]
             df = df.groupBy(*grouped).agg(*[c for a, c in zip(self.select, columns) if a not in self.keys])
             if self.having:

@@ -35,10 +35,21 @@ class Engine:
 
     def sql(self, text: str) -> DataFrame:
         """The result of a query the contract admits; the same text gives the same planned DataFrame."""
-        return self.registry.get(text, lambda: self._run(text))
+        return self.registry.get(text, lambda: self._run(text), self.tables)
 
     def _run(self, text: str) -> DataFrame:
-        self.contract.check(self.spark, text)
-        for name, df in self.tables.items():
-            df.createOrReplaceTempView(name)
-        return self.spark.sql(text)
+        self.contract.check(self.spark, text, self.tables)
+        before = {name: self.spark.table(name) for name in self.tables if self._is_view(name)}
+        try:
+            for name, df in self.tables.items():
+                df.createOrReplaceTempView(name)
+            return self.spark.sql(text)
+        finally:  # the plan holds its tables; the caller's views of these names come back
+            for name in self.tables:
+                if name in before:
+                    before[name].createOrReplaceTempView(name)
+                else:
+                    self.spark.catalog.dropTempView(name)
+
+    def _is_view(self, name: str) -> bool:
+        return self.spark._jsparkSession.sessionState().catalog().getTempView(name).isDefined()

@@ -1,4 +1,4 @@
-"""Synthetic tables by arithmetic on a row number, so every engine makes the same rows and none is stored.
+"""Synthetic tables by arithmetic on a row number, so every engine makes the same rows.
 
 Each table is (rows, {column: expression of ``id``}); it scales by the row count and is produced in parallel by ``spark.range``.
 """
@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.sources import store
+
 _A = "((id * 7919 + 104729) % 1000003)"
 _B = "((id * 15485863 + 32452843) % 999983)"
 _C = "((id * 49979687 + 67867967) % 1299709)"
@@ -18,8 +20,8 @@ _VERSION = "case when {x} % 5 = 0 then 'custom' else concat('us-gaap/', cast(202
 _STMT = "case {x} % 6 when 0 then 'BS' when 1 then 'IS' when 2 then 'CF' when 3 then 'EQ' when 4 then 'CI' else null end"
 
 TABLES: dict[str, tuple[int, dict[str, str]]] = {
-    "scan_skew": (200_000, {
-        "event_date": "(1990 + (id * 20) div 200000) * 10000 + (1 + id % 12) * 100 + 1 + id % 28", "region": "cast(id % 12 as int)", "amount": f"({_A} % 999 + 1) * 100 + id % 97",
+    "scan_skew": (500_000, {
+        "event_date": "(1990 + (id * 20) div 500000) * 10000 + (1 + id % 12) * 100 + 1 + id % 28", "region": "cast(id % 12 as int)", "amount": f"({_A} % 999 + 1) * 100 + id % 97",
     }),
     "zipf_left": (60_000, {"k": f"({_A} % 80) * ({_B} % 90)", "region": f"cast({_C} % 5 as int)", "amount": f"10 + {_B} % 49991"}),
     "zipf_right": (15_000, {"k": f"({_B} % 80) * ({_C} % 90)", "region": f"cast({_A} % 5 as int)"}),
@@ -51,6 +53,11 @@ def table(spark: SparkSession, name: str, rows: int | None = None) -> DataFrame:
     return spark.range(rows or count).selectExpr(*(f"{e} as {c}" for c, e in columns.items()))
 
 
+def stored(spark: SparkSession, name: str) -> DataFrame:
+    """The table written once and scanned, sorted by its first column."""
+    return store.kept(spark, f"generated/{name}", lambda: table(spark, name), by=(next(iter(TABLES[name][1])),))
+
+
 def sql(name: str) -> str:
     """The same rows as a DuckDB query."""
     count, columns = TABLES[name]

@@ -96,7 +96,7 @@ frame("join_anti", "select c_custkey from customer where not exists (select 1 fr
 frame("join_nway3", "select r_name, count(*) as n from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by r_name")(
     lambda t: t["customer"].join(t["nation"], F.expr("c_nationkey = n_nationkey")).join(t["region"], F.expr("n_regionkey = r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n"))
 )
-frame("join_left_isnull", "select c_custkey from customer left join orders on c_custkey = o_custkey where o_orderkey is null")(lambda t: t["customer"].join(t["orders"], F.expr("c_custkey = o_custkey"), "left").filter("o_orderkey is null").select("c_custkey"))
+frame("join_left_isnull", "select c_custkey from customer left join (select * from orders where o_totalprice > 300000) as o on c_custkey = o_custkey where o_orderkey is null")(lambda t: t["customer"].join(t["orders"].filter("o_totalprice > 300000"), F.expr("c_custkey = o_custkey"), "left").filter("o_orderkey is null").select("c_custkey"))
 frame("join_group", "select c_mktsegment, round(avg(o_totalprice), 2) as mean, max(o_totalprice) as high from customer join orders on c_custkey = o_custkey group by c_mktsegment")(
     lambda t: t["customer"].join(t["orders"], F.expr("c_custkey = o_custkey")).groupBy("c_mktsegment").agg(F.round(F.avg("o_totalprice"), 2).alias("mean"), F.max("o_totalprice").alias("high"))
 )
@@ -123,8 +123,22 @@ frame("derived_window", "select o_orderkey from (select o_orderkey, row_number()
 frame("topk", "select l_orderkey, l_linenumber, l_extendedprice from lineitem order by l_extendedprice desc, l_orderkey, l_linenumber, l_partkey limit 40")(
     lambda t: t["lineitem"].orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey").limit(40).select("l_orderkey", "l_linenumber", "l_extendedprice")
 )
-for _name, _op in (("union_all", "unionAll"), ("intersect", "intersect"), ("intersect_all", "intersectAll"), ("except", "subtract"), ("except_all", "exceptAll")):
+for _name, _op in (("union_all", "unionAll"), ("intersect", "intersect"), ("intersect_all", "intersectAll"), ("except_all", "exceptAll")):
     frame(_name, f"select c_nationkey as k from customer {_name.replace('_', ' ')} select s_nationkey from supplier")(lambda t, o=_op: getattr(t["customer"].select(F.col("c_nationkey").alias("k")), o)(t["supplier"].select("s_nationkey")))
+frame("except", "select p_size as k from part except select s_nationkey from supplier")(lambda t: t["part"].select(F.col("p_size").alias("k")).subtract(t["supplier"].select("s_nationkey")))
+frame("int_div_large", "select p_partkey, (9007199254740993 + p_partkey) // 1 as whole, (9223372036854775807 - p_partkey) // 3 as third, (p_partkey - 9223372036854775807) // 1 as low, p_partkey // nullif(p_size % 3, 0) as by_size from part")(
+    lambda t: t["part"].select("p_partkey", S.int_div(F.col("p_partkey") + 9007199254740993, F.lit(1)).alias("whole"), S.int_div(9223372036854775807 - F.col("p_partkey"), F.lit(3)).alias("third"), S.int_div(F.col("p_partkey") - 9223372036854775807, F.lit(1)).alias("low"), S.int_div(F.col("p_partkey"), F.col("p_size") % 3).alias("by_size"))
+)
+frame("join_partitioned_hash", "select o_orderpriority, count(*) as n, cast(sum(l_linenumber) as bigint) as total from lineitem join orders on l_orderkey = o_orderkey group by o_orderpriority")(
+    lambda t: t["lineitem"].join(t["orders"].hint("shuffle_hash"), F.expr("l_orderkey = o_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("total"))
+)
+frame("join_sort_merge", "select o_orderstatus, count(*) as n from lineitem join orders on l_orderkey = o_orderkey group by o_orderstatus")(
+    lambda t: t["lineitem"].join(t["orders"].hint("merge"), F.expr("l_orderkey = o_orderkey")).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+)
+frame("distinct_counts", " union all ".join(f"select '{c}' as column_name, count(distinct {c}) as distinct_count from lineitem" for c in ("l_returnflag", "l_linenumber", "l_suppkey")))(
+    lambda t: stats.distinct_counts(t["lineitem"], ("l_returnflag", "l_linenumber", "l_suppkey"))
+)
+frame("group_cube", "select o_orderstatus, o_orderpriority, count(*) as n from orders group by cube (o_orderstatus, o_orderpriority)")(lambda t: t["orders"].cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n")))
 frame("union", "select c_nationkey as k from customer union select s_nationkey from supplier")(lambda t: t["customer"].select(F.col("c_nationkey").alias("k")).union(t["supplier"].select("s_nationkey")).distinct())
 frame("stats_bundle", stats.bundle_sql("lineitem", ("l_quantity", "l_extendedprice", "l_returnflag")))(lambda t: stats.bundle(t["lineitem"], ("l_quantity", "l_extendedprice", "l_returnflag")))
 frame("histogram", "with b as (select min(p_size) as lo, max(p_size) as hi from part) select cast((p_size - lo) * 8 // (hi - lo + 1) as bigint) as bin, count(*) as n from part, b group by bin")(lambda t: stats.histogram(t["part"], "p_size", 8))
@@ -150,7 +164,13 @@ _texts |= {
     "cte_recursive": "with recursive walk(n, total) as (select 1, 1 union all select n + 1, total + n + 1 from walk where n < 50) select n, total from walk",
     "right_join_sql": "select s_name, n_name from nation right join supplier on n_nationkey = s_nationkey",
     "join_semi_sql": "select s_suppkey from supplier semi join nation on s_nationkey = n_nationkey",
-    "join_anti_sql": "select n_nationkey from nation anti join supplier on n_nationkey = s_nationkey",
+    "join_anti_sql": "select p_partkey from part anti join (select l_partkey from lineitem where l_quantity > 45) as x on p_partkey = l_partkey",
+    "rank_sql": "select o_orderkey, rank() over (partition by o_custkey order by o_orderpriority) as place, dense_rank() over (partition by o_custkey order by o_orderpriority) as tier from orders",
+    "rollup_sql": "select o_orderstatus, o_orderpriority, count(*) as n from orders group by rollup (o_orderstatus, o_orderpriority)",
+    "grouping_sets_sql": "select o_orderstatus, o_orderpriority, max(o_orderkey) as top from orders group by grouping sets ((o_orderstatus), (o_orderpriority), ())",
+    "join_using_sql": "select k, a, b from (select o_custkey as k, count(*) as a from orders group by o_custkey) as x join (select c_custkey as k, c_nationkey as b from customer) as y using (k)",
+    "join_natural_sql": "select k, a, b from (select o_custkey as k, count(*) as a from orders group by o_custkey) as x natural join (select c_custkey as k, c_nationkey as b from customer) as y",
+    "join_comma_sql": "select n_name, r_name from nation, region where n_regionkey = r_regionkey and r_name <> 'ASIA'",
     "set_ops_nested": "(select c_nationkey as k from customer except select s_nationkey from supplier) union all select n_regionkey from nation",
     "window_sql": "select p_partkey, cast(sum(p_size) over (partition by p_brand order by p_partkey) as bigint) as running from part",
 }

@@ -54,7 +54,7 @@ _TABLES = ("num", "sub", "tag", "pre")
 
 
 def _run(spark: SparkSession, text: str) -> DataFrame:
-    return Engine(spark, {n: generated.table(spark, n) for n in _TABLES}).sql(text)
+    return Engine(spark, {n: generated.stored(spark, n) for n in _TABLES}).sql(text)
 
 
 def queries():

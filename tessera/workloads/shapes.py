@@ -34,7 +34,7 @@ def star() -> dict[str, Shape]:
         "ssb_7": _by(flat, ("c_nation", "s_nation", "d_year"), revenue, "c_region = 'ASIA' and s_region = 'ASIA'", days(19950101, 20001231), name="revenue"),
         "ssb_8": _by(flat, cities, revenue, "c_nation = 'NATION_1'", "s_nation = 'NATION_1'", days(19950101, 20001231), name="revenue"),
         "ssb_9": _by(flat, cities, revenue, "c_city = 'NATION_2-1'", "s_city = 'NATION_2-0'", days(19950101, 20001231), name="revenue"),
-        "ssb_10": _by(flat, cities, revenue, "c_city = 'NATION_2-1'", "s_city = 'NATION_2-0'", days(19971201, 19980331), name="revenue"),
+        "ssb_10": _by(flat, ("c_region", "s_region", "d_year"), revenue, "c_nation = 'NATION_2'", days(19971201, 19980331), name="revenue"),
         "ssb_11": _by(flat, ("d_year", "c_nation"), profit, "c_region = 'AMERICA'", "s_region = 'AMERICA'", "p_mfgr = 'MFGR#1'", name="profit"),
         "ssb_12": _by(flat, ("d_year", "c_nation"), profit, "c_region = 'AMERICA'", "s_region = 'AMERICA'", days(19970101, 19981231), "p_mfgr = 'MFGR#1'", name="profit"),
         "ssb_13": _by(flat, ("d_year", "s_nation", "p_category"), profit, "c_region = 'AMERICA'", "s_nation = 'NATION_1'", days(19970101, 19971231), "p_category = 'LARGE'", name="profit"),

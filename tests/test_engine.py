@@ -82,6 +82,26 @@ def test_scalar_functions(spark):
     assert df.filter("x > 99").agg(scalar.zero_if_empty(F.sum("x")).alias("t")).first().t == 0
 
 
+def test_whole_quotients_are_exact(spark):
+    df = spark.sql("select * from values (9007199254740995L, 1L), (-9223372036854775807L, 1L), (9223372036854775807L, -2L), (null, 3L) as t(a, b)")
+    assert [r.q for r in df.select(scalar.int_div(F.col("a"), F.col("b")).alias("q")).collect()] == [9007199254740995, -9223372036854775807, -4611686018427387903, None]
+
+
+def test_equal_rows_of_a_hot_key_are_spread(spark):
+    left = spark.range(1000).selectExpr("1 as k", "map('a', 1) as m")
+    assert joins.salted(left, spark.createDataFrame([(1,)], "j int"), {"k": "j"}, 4).count() == 1000
+
+
+def test_star_queries_prune_their_scan(spark):
+    from tessera import catalog
+
+    for name in ("ssb_1", "h21", "h23"):
+        pushed = inspect.pushed_filters(catalog.queries()[name](spark, DATA))
+        assert any("lo_orderdate" in f and "lo_discount" in f for f in pushed)
+        assert "BroadcastHashJoin" not in inspect.operators(catalog.queries()[name](spark, DATA))
+    assert any("event_date" in f for f in inspect.pushed_filters(catalog.queries()["h1"](spark, DATA)))
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_join_equals_plain_join(spark, how):
     left = spark.range(500).selectExpr("id", "if(id % 3 = 0, 7, id % 40) as k")
