@@ -36,3 +36,18 @@ def test_pipeline(spark):
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.filter("octet_length(text) > 0").collect()}
     again = pipeline.run(spark, DATA).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, packed)) and first.count() >= count
+
+
+def test_pipeline_on_odd_and_empty_tables(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    prose = [" ".join(f"w{i}x{k % (7 + i)}" for k in range(40)) for i in range(12)]
+    rows = [(i, t, "en", "s", len(t), "a", "b", 1) for i, t in enumerate(prose)] + [(100, prose[0], None, None, None, None, None, None), (0, prose[0], "en", "s", 1, "a", "b", 1), (101, None, "en", "s", None, "a", "b", 2), (102, "", "en", "s", 0, "a", "b", 2), (None, "lost id", "en", "s", 7, "a", "b", 2)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string, cuts string, __tokens int")
+    for docs in (odd, odd.limit(0)):
+        columns = docs.columns
+        for name, stage in pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, DATA).cache()
+            assert docs.columns == columns, name
+            if name == "ngram_jaccard_join" and docs.count():
+                assert sorted(r.doc_id for r in docs.filter("doc_id is not null").collect()) == [*range(12), 101, 102]
+        assert pipeline.STAGES[-1][1](spark, docs, DATA).count() <= 2 * len(rows)
