@@ -135,3 +135,19 @@ def test_repeated_ids_with_different_texts(spark):
         assert kept.columns == df.columns
         got = sorted(map(tuple, kept.collect()), key=repr)
         assert got == sorted([(1, a), (1, b), (2, a + " " + b), (4, c), (6, None), (7, "q")], key=repr)
+
+
+def test_a_large_family_meets_in_few_groups(spark, monkeypatch):
+    rng, tables, kept = random.Random(9), {}, nj.stored
+    base = [f"b{i}" for i in range(150)]
+    docs = []
+    for i in range(240):
+        text = list(base)
+        for k in rng.sample(range(150), 5):
+            text[k] = f"u{i}x{k}"
+        docs.append((i, " ".join(text)))
+    monkeypatch.setattr(nj, "stored", lambda df, name: tables.setdefault(name, kept(df, name)))
+    got = {(r.id_a, r.id_b): r.jaccard for r in nj.similar_pairs(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = brute(docs, nj.N, nj.THRESHOLD)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in got)
+    assert tables["pairs"].count() < 240  # pairs of groups that must be compared; 351 when each text kept its own smallest hash
