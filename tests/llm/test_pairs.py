@@ -151,3 +151,25 @@ def test_a_large_family_meets_in_few_groups(spark, monkeypatch):
     want = brute(docs, nj.N, nj.THRESHOLD)
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in got)
     assert tables["pairs"].count() < 240  # pairs of groups that must be compared; 351 when each text kept its own smallest hash
+
+
+def test_classes_and_links_are_those_of_all_pairs(spark):
+    docs = corpus(11) + [(100 + i, " ".join(f"c{k}" for k in range(60)) + f" u{i % 40}") for i in range(50)]
+    df = spark.createDataFrame([*docs, (None, "a b c")], "doc_id long, text string")
+    rows = nj.classes(df, 3, 0.55, 8).collect()
+    assert len(rows) == len(docs)  # one row per document, however many pairs there are
+    sets = {i: frozenset(grams(t, 3)) if t else frozenset() for i, t in docs}
+    linked = {i: {j for j in sets if j != i and sets[i] and len(sets[i] & sets[j]) >= 0.55 * len(sets[i] | sets[j]) - 1e-9} for i in sets}
+    root = {}
+    for i in sorted(sets):
+        new = {i} if i not in root else set()
+        while new:
+            root |= dict.fromkeys(new, i)
+            new = {j for x in new for j in linked[x]} - root.keys()
+    assert {r.doc_id: (r.class_id, r.links) for r in rows} == {i: (root[i], len(linked[i])) for i in sets}
+
+
+def test_classes_of_odd_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "q"), (3, "q")], "doc_id int, text string")
+    assert sorted(map(tuple, nj.classes(df).collect())) == [(1, 1, 0), (2, 2, 0), (3, 3, 0)]
+    assert nj.classes(df.limit(0)).count() == 0
