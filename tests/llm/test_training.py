@@ -255,6 +255,20 @@ def test_clustered_vectors_open_few_lists(spark):
     assert np.mean([(found[i] <= edge[i] + 1e-3).sum() / 10 for i in range(1000)]) >= 0.95
 
 
+def test_every_fiftieth_vector_asks_all_vectors(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").toPandas().sort_values("vec_id")
+    names, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()).astype(np.float32)
+    got = queries.queries()["op7_ann"](spark, "/root/testdata/sf0.1").toPandas()
+    asked = np.flatnonzero(names % 50 == 0)
+    d = ann.squared(x[asked], x)
+    d[np.arange(len(asked)), asked] = np.inf
+    edge = np.sqrt(np.partition(d, 9, axis=1)[:, 9])
+    found = got.groupby("vec_id")["distance"].apply(np.array)
+    assert set(got["vec_id"]) == set(names[asked].tolist()) and len(got) == 10 * len(asked)
+    assert (got["neighbour_id"] % 50 != 0).mean() > 0.9
+    assert np.mean([(found[names[a]] <= edge[i] + 1e-3).sum() / 10 for i, a in enumerate(asked)]) >= 0.9
+
+
 def test_lists_grow_where_the_graph_would_be_too_large(spark):
     x = np.random.default_rng(8).normal(size=(3000, 8)).astype(np.float32)
     vectors = ann._valid(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"))
