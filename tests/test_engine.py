@@ -129,6 +129,11 @@ def test_statistics(spark):
     assert stats.histogram(df.filter("n > 50"), "n", 5).count() == 0
 
 
+def test_distinct_counts_are_exact_at_any_size(spark):
+    df = spark.range(30_000).selectExpr("id as many", "id % 3 as few")
+    assert {tuple(r) for r in stats.distinct_counts(df, ("many", "few")).collect()} == {("many", 30_000), ("few", 3)}
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     from tessera import catalog
 
