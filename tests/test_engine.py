@@ -134,6 +134,14 @@ def test_distinct_counts_are_exact_at_any_size(spark):
     assert {tuple(r) for r in stats.distinct_counts(df, ("many", "few")).collect()} == {("many", 30_000), ("few", 3)}
 
 
+@pytest.mark.parametrize("values", [0, 1, 4095, 4097, 9000])
+def test_distinct_counts_know_no_switch(spark, values):
+    df = spark.range(2 * values).selectExpr(f"if(id < {values}, id, null) as some", f"cast(id % {max(values, 1)} as string) as word")
+    got = stats.distinct_counts(df, ("some", "word"))
+    assert {tuple(r) for r in got.collect()} == {("some", values), ("word", values)}
+    assert "approx" not in inspect.physical(got)
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     from tessera import catalog
 
