@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.sources import generated, star, store
+from tessera.sources import generated, star
 from tessera.workloads import core, filings, shapes
 from tessera.workloads import files as files_
 
@@ -14,8 +14,7 @@ from tessera.workloads import files as files_
 def _tables(spark: SparkSession, sf_dir: str, names: set[str]) -> dict[str, DataFrame]:
     """The tables of a shape: stored ones, generated ones, and the flattened star."""
     if "lineorder_flat" in names:
-        stored = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in core.NAMES}
-        return {"lineorder_flat": store.kept(spark, f"{sf_dir}/lineorder_flat", lambda: star.flat(stored), by=("lo_orderdate",))}
+        return {"lineorder_flat": star.stored(spark, sf_dir, core.load(spark, sf_dir))}
     return {n: generated.stored(spark, n) if n in generated.TABLES else spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 
 

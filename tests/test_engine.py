@@ -111,6 +111,63 @@ def test_salted_join_equals_plain_join(spark, how):
     assert sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, salted.collect()), key=repr)
 
 
+def test_coded_join_equals_plain_join(spark):
+    left = spark.sql("select id as v, case when id % 7 = 0 then null else id % 50 - 10 end as k from range(600) union all select -1, 9223372036854775807")
+    right = spark.sql("select id % 45 - 12 as j, case when id % 3 > 0 then concat('w', id % 3) end as word, cast(id % 2 as int) as two from range(60) union all select null, 'n', 1 union all select 9223372036854775807, 'far', 0")
+    plain = left.join(right, F.expr("k = j")).select("v", "k", "word", "two")
+    met, kinds = joins.coded(left, right, {"k": "j"}, "__number")
+    assert kinds.count() == 7
+    assert sorted(map(tuple, met.join(kinds, "__number").select("v", "k", "word", "two").collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    assert "hashpartitioning(k" not in inspect.physical(met)
+    met, kinds = joins.coded(left, right.filter("two > 5"), {"k": "j"}, "__number")
+    assert met.join(kinds, "__number").count() == 0
+    assert joins.coded(left, right, {"k": "j"}, "__number", most_mb=0) is None
+    assert joins.coded(left, right, {"k": "j"}, "__number", most_kinds=6) is None
+    assert joins.coded(left.withColumn("k", F.col("k").cast("string")), right, {"k": "j"}, "__number") is None
+
+
+def _star_tables(spark):
+    t = {n: spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
+    t["supplier"] = t["supplier"].filter("s_suppkey <> 3").union(t["supplier"].filter("s_suppkey = 4"))
+    t["part"] = t["part"].filter("p_partkey % 10 > 0").union(t["part"].filter("p_partkey = 7"))
+    return t
+
+
+def test_star_is_the_same_by_codes_and_by_shuffles(spark):
+    import duckdb
+
+    t = _star_tables(spark)
+    con = duckdb.connect()
+    for name, df in t.items():
+        con.register(name, df.toArrow())
+    want = con.sql(f"select count(*), sum(lo_revenue), min(c_city), count(distinct s_city), sum(p_size), sum(d_weeknuminyear), max(p_mfgr) from ({star.FLAT_SQL})").fetchall()[0]
+    for most_mb in (64, 0):
+        got = star.flat(t, most_mb).selectExpr("count(*)", "sum(lo_revenue)", "min(c_city)", "count(distinct s_city)", "sum(p_size)", "sum(d_weeknuminyear)", "max(p_mfgr)").first()
+        assert tuple(got) == want
+
+
+def test_star_shuffles_lines_once(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")
+    try:
+        plan = inspect.physical(star.flat(_star_tables(spark)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("hashpartitioning(l_") == plan.count("hashpartitioning(l_orderkey") == 1
+    assert plan.count("hashpartitioning(o_") == plan.count("hashpartitioning(o_orderkey") == 1
+
+
+def test_stored_star_is_narrow_and_by_date(spark):
+    t = _star_tables(spark)
+    df = star.stored(spark, "a name of its own", t)
+    assert df.columns == list(star.FLAT)
+    assert files.checksum(df).first() == files.checksum(star.flat(t)).first()
+    assert not {"lo_revenue", "lo_supplycost"} & {c for cols in inspect.read_columns(df) for c in cols}
+    for path in df.inputFiles():
+        days = [r.lo_orderdate for r in spark.read.parquet(path).select("lo_orderdate").coalesce(1).collect()]
+        assert days == sorted(days)
+
+
 def test_sum_over_join_equals_the_join(spark):
     rng = random.Random(5)
     left = spark.createDataFrame([(rng.choice([1, 1, 1, 2, 3, None]), rng.randrange(9)) for _ in range(300)], "k int, v int")
