@@ -111,6 +111,23 @@ def test_salted_join_equals_plain_join(spark, how):
     assert sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, salted.collect()), key=repr)
 
 
+def test_count_over_join_equals_the_join(spark):
+    rng = random.Random(6)
+    left = spark.createDataFrame([(rng.choice([1, 1, 1, 2, 3, None]), rng.choice(["a", "b", None])) for _ in range(300)], "k int, kind string")
+    right = spark.createDataFrame([(rng.choice([1, 1, 2, 4, None]),) for _ in range(200)], "j int")
+    want = left.join(right, F.expr("k = j")).groupBy("kind").agg(F.count("*").alias("n"))
+    got = joins.count_over_join(left, right, {"k": "j"}, ("kind",))
+    assert got.dtypes == want.dtypes
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_skewed_join_repeats_and_broadcasts_nothing(spark):
+    from tessera import catalog
+
+    plan = inspect.physical(catalog.queries()["skewed_join"](spark, DATA))
+    assert "Generate" not in plan and "Broadcast" not in plan
+
+
 def test_coded_join_equals_plain_join(spark):
     left = spark.sql("select id as v, case when id % 7 = 0 then null else id % 50 - 10 end as k from range(600) union all select -1, 9223372036854775807")
     right = spark.sql("select id % 45 - 12 as j, case when id % 3 > 0 then concat('w', id % 3) end as word, cast(id % 2 as int) as two from range(60) union all select null, 'n', 1 union all select 9223372036854775807, 'far', 0")
