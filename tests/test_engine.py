@@ -174,6 +174,14 @@ def test_star_shuffles_lines_once(spark):
     assert plan.count("hashpartitioning(o_") == plan.count("hashpartitioning(o_orderkey") == 1
 
 
+@pytest.mark.parametrize("name", ["h23"])
+def test_star_queries_read_no_derived_column(spark, name):
+    from tessera import catalog
+
+    (read,) = inspect.read_columns(catalog.queries()[name](spark, DATA))
+    assert {"lo_extendedprice", "lo_discount"} <= set(read) and "lo_revenue" not in read
+
+
 def test_stored_star_is_narrow_and_by_date(spark):
     t = _star_tables(spark)
     df = star.stored(spark, "a name of its own", t)
