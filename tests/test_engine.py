@@ -174,7 +174,7 @@ def test_star_shuffles_lines_once(spark):
     assert plan.count("hashpartitioning(o_") == plan.count("hashpartitioning(o_orderkey") == 1
 
 
-@pytest.mark.parametrize("name", ["h23", "ssb_4"])
+@pytest.mark.parametrize("name", ["h23", "ssb_4", "ssb_10"])
 def test_star_queries_read_no_derived_column(spark, name):
     from tessera import catalog
 
